@@ -72,9 +72,10 @@ class Texts:
     """Texts of one sub-batch as bytes ``data`` with offsets ``at`` (one more than texts)."""
 
     def __init__(self, column: pa.Array):
-        column = pc.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
+            column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        binary = pa.types.is_binary(column.type)
+        column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
         at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         raw = column.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
