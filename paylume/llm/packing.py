@@ -83,6 +83,18 @@ def cuts(tokens: int, size: int, last_class: int) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
+_memos: dict[str, ChunkMemo] = {}
+
+
+def memo_of(path: str) -> ChunkMemo:
+    """The worker's memo, kept between its tasks."""
+    from tokenizers import Tokenizer
+
+    if path not in _memos:
+        _memos[path] = ChunkMemo(Tokenizer.from_file(path))
+    return _memos[path]
+
+
 class Bins:
     """Open bins of one task: by piece length, and one for the last class."""
 
@@ -148,9 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
         raise ValueError("size must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        memo = ChunkMemo(Tokenizer.from_file(tokenizer_path))
+        memo = memo_of(tokenizer_path)
         bins = Bins(size, last_class, TaskContext.get().partitionId() << LOCAL_BITS)
         end = np.array([end_id], "<u4").tobytes()
         rows = []

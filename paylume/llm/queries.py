@@ -1,11 +1,12 @@
 """Queries of the training-data operators, each over its whole table, and SQL where it can express them."""
 
-from . import decontaminate, packing, substring_dedup, suffix_dedup
+from . import decontaminate, jaccard_join, packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op5_harmonic_packing": packing.op5_harmonic_packing,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
-SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
+SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
