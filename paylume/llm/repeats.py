@@ -32,7 +32,7 @@ U64 = np.uint64
 #: Contexts that a task holds before it passes them on.
 HELD = 100_000
 #: Bytes of contexts that a bucket resolves at once, but whole anchors.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ class Kind:
     words: bool
     earlier: bool
     hot: int
+    #: Runs are split by the anchor's place in the window into so many parts; all windows of a part share a core of
+    #: tokens around the anchor, whose hash takes the place of the gram's. More parts, longer cores, fewer false repeats.
+    parts: int = 1
 
 
 class Tokens:
@@ -94,7 +97,18 @@ def anchors(value: np.ndarray, of: np.ndarray, kind: Kind) -> tuple[np.ndarray,
     many = np.diff(np.r_[first, len(place)])
     keep = inside[first]
     first, many = first[keep], many[keep]
-    return doc[first], first, many, place[first], grams[place[first]]
+    at = place[first]
+    if kind.parts == 1:
+        return doc[first], first, many, at, grams[at]
+    size = -(-(kind.length - kind.gram + 1) // kind.parts)
+    low, high = (at - first - many + 1) // size, (at - first) // size
+    each = high - low + 1
+    part = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    first, many, at = (np.repeat(x, each) for x in (first, many, at))
+    start = np.maximum(first, at - (part + 1) * size + 1)
+    end = np.minimum(first + many, at - part * size + 1)
+    cores = range_hash(sums, at - part * size, at - (part + 1) * size + 1 + kind.length, 0)
+    return doc[start], start, end - start, at, mix(cores + part.astype(U64))
 
 
 def _anchor_rows(kind: Kind):
@@ -269,7 +283,8 @@ def find(docs: DataFrame, kind: Kind, resolve: Callable, dealt: Callable[[DataFr
     documents); ``dealt`` deals contexts to buckets, anchors whole."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_anchor_rows(kind), "h long, doc_id long, n int")
+    # dealt by anchor once; counting and the join below both use this exchange
+    found = rows.mapInArrow(_anchor_rows(kind), "h long, doc_id long, n int").repartition("h")
     repeated = "min(doc_id) < max(doc_id)" if kind.earlier else "sum(n) > 1"
     kept = found.groupBy("h").agg(F.sum("n").alias("total"), F.expr(repeated).alias("again")).where("again").select("h", (F.col("total") > kind.hot).alias("hot"))
     keep = found.select("h", "doc_id").join(kept, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("keep"))

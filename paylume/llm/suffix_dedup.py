@@ -53,8 +53,10 @@ def sort_bucket(data: np.ndarray, group: np.ndarray, start: np.ndarray, length:
             for which in (0, 1) if b == length else (0,):
                 keys.append(lambda rows, a=a, b=b, which=which: range_hash(sums[which], start[rows] + a, start[rows] + b, which))
     for key in keys:
+        if not len(left):
+            break
         order, run = ties(group, key(left))
-        many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+        many = np.bincount(run)[run] > 1
         left, group = left[order][many], run[many]
     return left
 
@@ -91,7 +93,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, texts: bool = True) -> Da
     """Per document what is left after dropping each byte of a string of ``length`` bytes that also starts anywhere
     else: n_tokens, n_removed, n_spans, kept_sha256, ``kept`` (null: unchanged) and ``spans`` of bytes."""
     gram = max(1, min(16, length // 2))
-    kind = repeats.Kind(length, gram, False, False, 20_000)
+    kind = repeats.Kind(length, gram, False, False, 5_000, 4 if length >= 8 * gram else 1)
 
     def dealt(contexts: DataFrame) -> DataFrame:
         return contexts.withColumn("lead", F.expr(f"substring(context, anchor + 1, {gram})")).repartitionByRange("lead")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def _byte_set(*ranges: tuple[int, int]) -> np.ndarray:
