@@ -22,7 +22,7 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the shared folder; cuts the lineage."""
     spark = df.sparkSession
     path = folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
     gc.collect()

@@ -72,7 +72,7 @@ def trees(kind: repeats.Kind):
 def remove_repeats(docs: DataFrame, length: int = 13, texts: bool = True) -> DataFrame:
     """Per document what is left after dropping each word in a window whose words also stand in a document with a
     smaller id: n_tokens, n_removed, n_spans, kept_sha256, ``kept`` (null: unchanged) and ``spans`` of words."""
-    kind = repeats.Kind(length, max(1, length * 2 // 5), True, True, 20_000)
+    kind = repeats.Kind(length, max(1, length // 3), True, True, 20_000)
     return repeats.find(docs, kind, trees(kind), lambda contexts: contexts.repartition("h"), texts)
 
 
