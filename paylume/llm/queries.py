@@ -1,11 +1,13 @@
 """Queries of the training-data operators, each over its whole table, and SQL where it can express them."""
 
-from . import decontaminate, jaccard_join, packing, substring_dedup, suffix_dedup
+from . import decontaminate, jaccard_join, packing, quality_mil, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op5_harmonic_packing": packing.op5_harmonic_packing,
+    "op6_toxicity_neighbours": toxicity.op6_toxicity_neighbours,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_quality_attention": quality_mil.op8_quality_attention,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
