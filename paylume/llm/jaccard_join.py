@@ -1,10 +1,11 @@
 """Size-aware heavy-light Jaccard join over word n-grams, and the components of its links.
 
 Equal sets are one class. Light sets, of at most ``boundary`` shingles, enumerate the subsets of each size that an
-admissible partner must share; equal subsets of the needed size are a proof, so no check follows. Heavy sets scan
-inverted lists of their least frequent shingles: two sets over the limit share one of their first
-``n - ceil(limit * n) + 1`` shingles in any common order. The order puts frequent shingles last, so lists stay short.
-Sets near the boundary do both. The boundary minimises the estimated rows of both parts, from the sizes of all sets.
+admissible partner must share; equal subsets of the needed size are a proof, so no check follows. Heavy sets are cut
+by hash into more ranges than a linked pair of their sizes can differ in, so a linked pair has an equal range; the
+inverted lists by content of a range are scanned for candidates. Sizes are graded in steps of ``1 / limit``, and a set
+uses the ranges of its own grade and of the one below, so that partners always use the same ranges. Sets near the
+boundary do both. The boundary minimises the estimated rows of both parts, from the sizes of all sets.
 
 Links from the lists are found in two rounds. First each set meets the member of its lists that has the most company,
 the hub of a group of copies, which joins such a group without all its pairs. Then lists that still hold several
@@ -34,14 +35,10 @@ from .textkit import NOT_SPACE, Texts, mix, prefix_sums, range_hash, sub_batches
 U64 = np.uint64
 #: Largest set that may count as light.
 MOST_LIGHT = 30
-#: At most so many frequent shingles are broadcast (8 bytes each); a shingle is frequent from this share of all up.
-MOST_FREQUENT = 500_000
-#: Documents with a shingle before it counts as frequent, at least.
-LEAST_FREQUENT = 64
 #: Ranges of hashes whose counts are compared before a pair is checked.
 RANGES = 32
-#: Rows that a checked candidate pair counts for in the choice of the boundary.
-PAIR_COST = 4
+#: Rows of a subset that one entry of a list costs.
+LIST_COST = 2
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,43 +73,51 @@ def n_subsets(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
-def prefix(n, percent: int):
-    """Shingles of a set that its inverted lists need."""
-    return n - -(-percent * n // 100) + 1
+def grade(n, percent: int):
+    """Size grade: linked sets are of one grade or of neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def _frequent_rows(size: int, floor: int):
-    """Shingles with at least ``floor`` documents in a part of the input, and the number of all shingles."""
+def n_ranges(g, percent: int):
+    """One more than the most shingles in which linked sets of grades ``g`` and ``g + 1`` can differ."""
+    most = np.ceil((100 / percent) ** (np.asarray(g) + 2.0)) + 1
+    return (2 * most * (100 - percent) // (100 + percent)).astype(np.int64) + 1
+
+
+def list_entries(n: int, percent: int) -> int:
+    g = int(grade(n, percent))
+    return int(n_ranges(g, percent)) + int(n_ranges(g - 1, percent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, kept, counts = [], 0, np.zeros(0, U64), np.zeros(0, np.int64)
-
-        def fold():
-            nonlocal kept, counts
-            fresh, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
-            both, at = np.unique(np.concatenate([kept, fresh]), return_inverse=True)
-            sums = np.zeros(len(both), np.int64)
-            np.add.at(sums, at, np.concatenate([counts, n]))
-            held.clear()
-            keep = sums > 1
-            kept, counts = both[keep], sums[keep]
 
+def _list_rows(size: int, percent: int, above: int):
+    """Keys of the inverted lists of each set of over ``above`` shingles: the content of its hash ranges, for two
+    grades."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            hashes, _ = shingle_sets(Texts(batch.column(0)), size)
-            held.append(hashes)
-            total += len(hashes)
-            if sum(map(len, held)) > 2_000_000:
-                fold()
-        fold()
-        keep = counts >= floor
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[kept[keep], U64(0)].view(np.int64)), pa.array(np.r_[counts[keep], total])], names=["h", "n"])
+            hashes, of = shingle_sets(Texts(batch.column(1)), size)
+            n = np.diff(of)
+            keep = n > above
+            doc = np.repeat(np.arange(len(n)), n)
+            hashes, doc = hashes[keep[doc]], doc[keep[doc]]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            code = mix(hashes + U64(99))
+            for g in (grade(n, percent), grade(n, percent) - 1):
+                m = n_ranges(g, percent) * keep
+                at = np.r_[0, np.cumsum(m)]
+                place = at[:-1][doc] + (((hashes >> U64(32)) * m[doc].astype(U64)) >> U64(32)).astype(np.int64)
+                sums = np.zeros(at[-1], U64)
+                np.add.at(sums, place, code)
+                own = np.repeat(np.arange(len(n)), m)
+                where = np.arange(at[-1]) - at[:-1][own]
+                keys = mix(sums ^ mix(where.astype(U64) * U64(4096) + g[own].astype(U64) + U64(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own])], names=["h", "id"])
 
     return run
 
 
-def _node_rows(size: int, percent: int, frequent):
+def _node_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
         for batch in sub_batches(batches, "text"):
             hashes, of = shingle_sets(Texts(batch.column(1)), size)
             n = np.diff(of)
@@ -121,16 +126,11 @@ def _node_rows(size: int, percent: int, frequent):
             for code, salt in zip(codes, (1, 2), strict=True):
                 np.cumsum(np.r_[U64(0), mix(hashes * U64(2 * salt + 1))], out=(sums := np.zeros(len(hashes) + 1, U64)))
                 code[: len(n)] = sums[of[1:]] - sums[of[:-1]]
-            rare = ~np.isin(hashes, common)
-            order = np.lexsort((hashes, ~rare, doc))
-            length = prefix(n, percent) * (n > 0)
-            place = np.repeat(of[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(hashes[order][place].view(np.int64)))
             ranges = np.bincount(doc * RANGES + (hashes >> U64(59)).astype(np.int64), minlength=len(n) * RANGES).astype(np.int32)
             light = [hashes[a:b].view(np.int64) if b - a <= MOST_LIGHT else None for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(codes[0][:-1].view(np.int64)), pa.array(codes[1][:-1].view(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(ranges)), pa.array(light, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp1", "fp2", "first", "ranges", "small"],
+                [batch.column(0), pa.array(n), pa.array(codes[0][:-1].view(np.int64)), pa.array(codes[1][:-1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(ranges)), pa.array(light, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "fp1", "fp2", "ranges", "small"],
             )
 
     return run
@@ -162,17 +162,16 @@ def _set_rows(size: int):
     return run
 
 
-def choose_boundary(sizes: dict[int, int], heavy: int, mean_list: float, percent: int) -> int:
-    """Largest light size. ``sizes``: sets by size, up to MOST_LIGHT; ``heavy``: list entries of all larger sets."""
-    tight = next(n for n in range(1, 10_000) if n_subsets(n, percent) > 0)
-    best, least = 0, float("inf")
-    for b in range(0, MOST_LIGHT + 1):
+def choose_boundary(sizes: dict[int, int], percent: int) -> int:
+    """Largest light size that makes the least rows, candidates of the lists included; ``sizes``: sets by size, up to
+    MOST_LIGHT. Sets too small to have a linked, different set are light in any case."""
+    free = next(n for n in range(1, 10_000) if n_subsets(n, percent) > 0) - 1
+
+    def cost(b: int) -> float:
         rows = sum(m * n_subsets(n, percent) for n, m in sizes.items() if n <= b)
-        lists = heavy + sum(m * prefix(n, percent) for n, m in sizes.items() if n > max(b * percent // 100, 0))
-        cost = rows + lists * (1 + PAIR_COST * max(mean_list - 1, 0))
-        if cost < least:
-            best, least = b, cost
-    return max(best, tight - 1)
+        return rows + sum(m * list_entries(n, percent) * LIST_COST for n, m in sizes.items() if n > b * percent // 100)
+
+    return min(range(free, MOST_LIGHT + 1), key=cost)
 
 
 def linked(percent: int, a: str, b: str, both: str) -> str:
@@ -184,21 +183,11 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     by links), and ``n_links`` (checked links of the class found on the way; enough to connect it)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_frequent_rows(size, 4), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = written(counts)
-    total = (counts.where("h = 0").agg(F.sum("n")).first()[0] or 0)
-    floor = max(LEAST_FREQUENT, total // MOST_FREQUENT)
-    common = np.sort(np.array([r[0] for r in counts.where(F.col("n") >= floor).select("h").toLocalIterator()], np.int64).view(U64))
-    sent = spark.sparkContext.broadcast(common)
-    nodes = written(rows.mapInArrow(_node_rows(size, percent, sent), "doc_id long, n long, fp1 long, fp2 long, first array<long>, ranges array<int>, small array<long>"))
+    nodes = written(rows.mapInArrow(_node_rows(size), "doc_id long, n long, fp1 long, fp2 long, ranges array<int>, small array<long>"))
     same = nodes.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id"))
-    heads = written(nodes.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "first", "ranges", "small"))
-
+    heads = written(nodes.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "ranges", "small"))
     by_size = {r[0]: r[1] for r in heads.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
-    posts = heads.select("id", "n", F.explode("first").alias("h"))
-    lists = posts.groupBy("h").agg(F.count("*").alias("m"))
-    heavy, kinds = heads.where(F.col("n") > MOST_LIGHT).agg(F.coalesce(F.sum(F.size("first")), F.lit(0)), F.count("*")).first()
-    boundary = choose_boundary(by_size, heavy, 1.2, percent)
+    boundary = choose_boundary(by_size, percent)
 
     # light sets
     subsets = heads.where(F.col("n") <= boundary).select("id", "n", "small").mapInArrow(_subset_rows(percent), "h long, c int, n long, id long")
@@ -207,9 +196,16 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     light = light.select(F.col("id").alias("u"), "v").distinct()
 
     # heavy sets: lists with two or more members
-    busy = written(posts.where(F.col("n") > boundary * percent // 100).join(lists.where("m > 1"), "h"))
+    posts = rows.mapInArrow(_list_rows(size, percent, boundary * percent // 100), "h long, id long").repartition("h")
+    lists = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    busy = written(posts.join(lists, "h").distinct().join(heads.select("id", "n"), "id"))
+    del posts, lists
+    release(spark)
+    many = busy.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    busy = busy.join(many, "h")
     company = busy.groupBy("id").agg(F.sum("m").alias("company"))
-    entries = written(busy.join(company, "id"))
+    entries = written(busy.join(company, "id").drop("m"))
+    del busy, company, many
     hub = entries.groupBy("h").agg(F.max(F.struct("company", F.negative("id").alias("minus"), "n")).alias("hub"))
     first = entries.join(hub, "h").select("id", "n", F.negative("hub.minus").alias("v"), F.col("hub.n").alias("m"), F.col("hub.company").alias("company")).where("id <> v")
     first = first.where(F.least("n", "m") * 100 >= percent * F.greatest("n", "m")).groupBy("id").agg(F.max(F.struct("company", F.negative("v").alias("minus"))).alias("best"))
