@@ -1,9 +1,12 @@
 """Queries of the training-data operators, each over its whole table, and SQL where it can express them."""
 
-from . import decontaminate, jaccard_join, packing, quality_mil, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, jaccard_join, licenses, packing, pii, quality_mil, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_robust_outliers": quality_rules.op1_robust_outliers,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_harmonic_packing": packing.op5_harmonic_packing,
     "op6_toxicity_neighbours": toxicity.op6_toxicity_neighbours,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
@@ -11,4 +14,4 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
 }
-SQL = {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
+SQL = {"op3_license_scan": licenses.OP3_SQL, "op2_benchmark_decontamination": decontaminate.OP2_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
