@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,6 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         edges = written(_star(_star(edges, True), False))
+        release(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

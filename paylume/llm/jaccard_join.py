@@ -219,6 +219,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         return with_both.withColumn("both", F.size(F.array_intersect("a", "b"))).where(linked(percent, "size(a)", "size(b)", "both")).select("u", "v")
 
     found = written(checked(first).unionByName(light))
+    del first, hub, subsets, least, light
+    release(spark)
     labels = components(found)
     # pairs across components of a list
     named = entries.join(labels, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -231,6 +233,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     )
     more = checked(pairs.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct())
     links = written(found.unionByName(more))
+    del named, mixed, some, right, pairs, more
+    release(spark)
     labels = components(links)
     degree = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
     member = nodes.join(same, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"))
