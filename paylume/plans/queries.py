@@ -1,4 +1,6 @@
-"""Registered queries and their SQL counterparts."""
+"""All registered queries of the library; importing the operators registers them."""
 
-QUERIES = {}
-SQL = {}
+from ..operators import profile  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
