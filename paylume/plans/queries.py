@@ -1,6 +1,6 @@
 """All registered queries of the library; importing the operators registers them."""
 
-from ..operators import evaluation, profile, relational  # noqa: F401
+from ..operators import audits, corpus, evaluation, profile, relational  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
