@@ -289,7 +289,7 @@ def find(docs: DataFrame, kind: Kind, resolve: Callable, dealt: Callable[[DataFr
     kept = found.groupBy("h").agg(F.sum("n").alias("total"), F.expr(repeated).alias("again")).where("again").select("h", (F.col("total") > kind.hot).alias("hot"))
     keep = found.select("h", "doc_id").join(kept, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("keep"))
     joined = rows.join(keep, "doc_id", "left").select("doc_id", "text", "keep")
-    base = written(joined.mapInArrow(_base_rows(kind), "doc_id long, n_tokens long, sha256 string, text string, keep array<struct<h:long,hot:boolean>>"))
+    base = written(joined.mapInArrow(_base_rows(kind), "doc_id long, n_tokens long, sha256 string, text string, keep array<struct<h:long,hot:boolean>>"), "gzip")
     del found, kept, keep, joined
     release(spark)
     some = base.where("keep IS NOT NULL").select("doc_id", "text", "keep")

@@ -18,11 +18,11 @@ def folder(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The same rows, read back from a table in the shared folder; cuts the lineage."""
     spark = df.sparkSession
     path = folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     schema = df.schema
     del df
     gc.collect()
