@@ -261,10 +261,11 @@ def random_payloads(rows: DataFrame, seed: str = "42") -> DataFrame:
     """Rows with as many hash-made bytes as ``size`` asks for, nonces moved by a million."""
     many = F.ceil(F.col("size") / 32).cast("int")
     blocks = F.array_join(F.transform(F.sequence(F.lit(1), many), lambda b: F.sha2(F.concat_ws("|", F.lit(seed), F.col("nonce").cast("string"), b.cast("string")), 256)), "")
-    return rows.select((F.col("nonce") + 1_000_000).alias("nonce"), "key_id", "size", "i", F.lit("random").alias("algorithm"), F.unhex(F.substring(blocks, 1, 1 << 30)).substr(F.lit(1), F.col("size")).alias("ciphertext"))
+    made = rows.withColumn("ciphertext", F.unhex(blocks).substr(F.lit(1), F.col("size")))
+    return made.select((F.col("nonce") + 1_000_000).alias("nonce"), "key_id", "size", "i", F.lit("random").alias("algorithm"), "ciphertext")
 
 
-@query("g9_random_control", f"WITH {GRID} SELECT nonce + 1000000 AS nonce, key_id, upper(substr(array_to_string(list_transform(range(1, CAST(ceil(size / 32) AS BIGINT) + 1), lambda b: sha256('42|' || grid.nonce || '|' || b)), ''), 1, 2 * size)) AS hexed FROM grid")
+@query("g9_random_control", f"WITH {GRID} SELECT nonce + 1000000 AS nonce, key_id, upper(substr(array_to_string(list_transform(range(1, CAST(ceil(size / 32) AS BIGINT) + 1), lambda b: sha256(printf('42|%d|%d', grid.nonce, b))), ''), 1, 2 * size)) AS hexed FROM grid")
 def random_control(spark, sf_dir: str) -> DataFrame:
     return random_payloads(sample_grid(spark, sf_dir)).select("nonce", "key_id", F.hex("ciphertext").alias("hexed"))
 
