@@ -35,7 +35,7 @@ def count_profile(df: DataFrame, *keep: str) -> DataFrame:
         "id",
         *keep,
         "n",
-        (F.log2("n") - F.col("clogc") / F.col("n")).alias("entropy"),
+        F.greatest(F.lit(0.0), F.log2("n") - F.col("clogc") / F.col("n")).alias("entropy"),
         F.when(F.col("n") < 16, F.lit(NAN)).otherwise(256.0 * F.col("cc") / F.col("n") - F.col("n")).alias("chi2"),
         F.when(F.col("n") < 2, F.lit(0.0)).otherwise((F.col("cc") - F.col("n")) / (F.col("n") * (F.col("n") - 1.0))).alias("ic"),
     )
@@ -64,7 +64,7 @@ def gram_profile(df: DataFrame, n: int) -> DataFrame:
     found = grams(df, n).groupBy("id").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max("c").alias("top"), F.sum(F.col("c") * F.log2("c")).alias("clogc"), F.sum(F.col("c") * F.col("c")).alias("cc"))
     stats = found.select(
         "id",
-        (F.log2("m") - F.col("clogc") / F.col("m")).alias("entropy"),
+        F.greatest(F.lit(0.0), F.log2("m") - F.col("clogc") / F.col("m")).alias("entropy"),
         F.col("k").cast("double").alias("distinct"),
         (F.col("top") / F.col("m")).alias("max_freq"),
         F.when(F.col("k") == 1, F.lit(0.0)).otherwise(F.col("cc") * F.col("k") / F.col("m") - F.col("m")).alias("chi2"),

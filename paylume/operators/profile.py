@@ -11,7 +11,7 @@ from ..sources.tables import SQL_B, SQL_P, payloads, table
 
 NULLED = lambda c: F.when(F.isnan(c), None).otherwise(F.round(c, 6))
 COUNTS = SQL_B + ", c AS MATERIALIZED (SELECT id, label, n, x, count(*) AS c FROM b GROUP BY ALL)"
-STATS = COUNTS + ", a AS (SELECT id, sum(c * log2(c)) AS clogc, sum(c * c) AS cc FROM c GROUP BY id), s AS (SELECT p.id, p.label, p.n, coalesce(log2(p.n) - clogc / p.n, 0) AS entropy, CASE WHEN p.n >= 16 THEN 256.0 * cc / p.n - p.n END AS chi2, CASE WHEN p.n < 2 THEN 0 ELSE (cc - p.n) / (p.n * (p.n - 1.0)) END AS ic FROM p LEFT JOIN a USING (id))"
+STATS = COUNTS + ", a AS (SELECT id, sum(c * log2(c)) AS clogc, sum(c * c) AS cc FROM c GROUP BY id), s AS (SELECT p.id, p.label, p.n, greatest(coalesce(log2(p.n) - clogc / p.n, 0), 0) AS entropy, CASE WHEN p.n >= 16 THEN 256.0 * cc / p.n - p.n END AS chi2, CASE WHEN p.n < 2 THEN 0 ELSE (cc - p.n) / (p.n * (p.n - 1.0)) END AS ic FROM p LEFT JOIN a USING (id))"
 
 
 @query("f1_byte_histogram", f"WITH {COUNTS} SELECT p.id, " + ", ".join(f"coalesce(sum(c) FILTER (x = {i}), 0) / greatest(p.n, 1) AS byte_hist_{i:03d}" for i in range(256)) + " FROM p LEFT JOIN c USING (id) GROUP BY p.id, p.n")
@@ -38,7 +38,7 @@ def _gram_sql(n: int) -> str:
     return (
         f"WITH {SQL_P}, g AS (SELECT id, g, count(*) AS c FROM (SELECT id, substr(hx, 2 * i - 1, {2 * n}) AS g FROM (SELECT id, hx, unnest(range(1, n - {n - 2})) AS i FROM p WHERE n >= {n})) GROUP BY ALL), "
         f"a AS (SELECT id, sum(c) AS m, count(*) AS k, max(c) AS top, sum(c * log2(c)) AS clogc, sum(c * c) AS cc FROM g GROUP BY id) "
-        f"SELECT p.id, round(log2(m) - clogc / m, 6) AS entropy, CAST(k AS DOUBLE) AS distinct_grams, round(top / m, 6) AS max_freq, round(CASE WHEN k = 1 THEN 0 ELSE cc * k / m - m END, 6) AS chi2, round(1 - k / {float(256**n)!r}, 6) AS collision_rate FROM p LEFT JOIN a USING (id)"
+        f"SELECT p.id, round(greatest(log2(m) - clogc / m, 0), 6) AS entropy, CAST(k AS DOUBLE) AS distinct_grams, round(top / m, 6) AS max_freq, round(CASE WHEN k = 1 THEN 0 ELSE cc * k / m - m END, 6) AS chi2, round(1 - k / {float(256**n)!r}, 6) AS collision_rate FROM p LEFT JOIN a USING (id)"
     )
 
 
@@ -154,7 +154,7 @@ def _contrast_sql() -> str:
     return (
         f"WITH p AS MATERIALIZED ({part.format('documents', 'text', 'doc_id')} UNION ALL {part.format('pages', 'html', 'page_id')}), "
         "c AS (SELECT corpus, id, n, x, count(*) AS c FROM (SELECT corpus, id, n, substr(hx, 2 * i - 1, 2) AS x FROM (SELECT corpus, id, n, hx, unnest(range(1, n + 1)) AS i FROM p)) GROUP BY ALL), "
-        "s AS (SELECT corpus, log2(n) - sum(c * log2(c)) / n AS entropy, CASE WHEN n < 2 THEN 0 ELSE (sum(c * c) - n) / (n * (n - 1.0)) END AS ic FROM c GROUP BY corpus, id, n) "
+        "s AS (SELECT corpus, greatest(log2(n) - sum(c * log2(c)) / n, 0) AS entropy, CASE WHEN n < 2 THEN 0 ELSE (sum(c * c) - n) / (n * (n - 1.0)) END AS ic FROM c GROUP BY corpus, id, n) "
         "SELECT corpus, count(*) AS n, round(avg(entropy), 6) AS mean_entropy, round(stddev_pop(entropy), 6) AS std_entropy, round(avg(ic), 6) AS mean_ic, round(avg(ic) * 256, 6) AS ic_over_uniform FROM s GROUP BY corpus"
     )
 

@@ -1,0 +1,15 @@
+"""Row-local payload statistics, which run on streams as on tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import payload
+
+
+def profiled_stream(df: DataFrame) -> DataFrame:
+    """Size, sums and lag-1 product sum, and the first 32 bytes as a fixed sequence, for each payload that arrives."""
+    sums = payload.lag_sums(df.withColumn("head", payload.fixed_sequence("payload", 32)), [1], "head")
+    n = F.greatest("n", F.lit(1))
+    return sums.select("id", "n", (F.col("s") / n).alias("mean_byte"), (F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)).alias("variance"), F.col("p_1").alias("lag1_sum"), "head")
