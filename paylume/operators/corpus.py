@@ -227,7 +227,7 @@ def variants(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v", F.explode(made)).select("nonce", "key_id", "size", "i", "v.algorithm", "v.ciphertext", F.octet_length("v.ciphertext").cast("long").alias("len_ct"))
 
 
-@query("g5_paired_variants", f"WITH {GRID} SELECT nonce, algorithm, CASE algorithm WHEN 'block' THEN (size // 16 + 1) * 16 WHEN 'xor' THEN size ELSE size + 28 END AS len_ct FROM grid, (VALUES ('block'), ('xor'), ('aead')) v(algorithm)")
+@query("g5_paired_variants", f"WITH {GRID} SELECT nonce, algorithm, CAST(CASE algorithm WHEN 'block' THEN (size // 16 + 1) * 16 WHEN 'xor' THEN size ELSE size + 28 END AS BIGINT) AS len_ct FROM grid, (VALUES ('block'), ('xor'), ('aead')) v(algorithm)")
 def paired_variants(spark, sf_dir: str) -> DataFrame:
     made = chunks(sample_grid(spark, sf_dir), table(spark, sf_dir, "documents"))
     return variants(made).select("nonce", "algorithm", "len_ct")

@@ -246,7 +246,7 @@ def mcnemar_pairs(spark, sf_dir: str) -> DataFrame:
 RUNS = PREDICTED + ", rn AS (SELECT model, 'run' || (doc_id % 2) AS run, avg(CAST(y_true = y_pred AS DOUBLE)) AS acc FROM pr GROUP BY 1, 2)"
 
 
-@query("e13_run_comparison", f"WITH {RUNS}, w AS (SELECT model, max(acc) FILTER (run = 'run0') AS run0, max(acc) FILTER (run = 'run1') AS run1 FROM rn GROUP BY 1) SELECT model, round(run0, 6) AS run0, round(run1, 6) AS run1, round(run1 - run0, 6) AS delta, 0.25 AS chance, round(run1 - 0.25, 6) AS gain FROM w")
+@query("e13_run_comparison", f"WITH {RUNS}, w AS (SELECT model, max(acc) FILTER (run = 'run0') AS run0, max(acc) FILTER (run = 'run1') AS run1 FROM rn GROUP BY 1) SELECT model, round(run0, 6) AS run0, round(run1, 6) AS run1, round(run1 - run0, 6) AS delta, 0.25::DOUBLE AS chance, round(run1 - 0.25, 6) AS gain FROM w")
 def run_comparison(spark, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir).withColumn("run", F.concat(F.lit("run"), F.col("doc_id") % 2))
     wide = rows.groupBy("model").pivot("run", ["run0", "run1"]).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")))

@@ -293,7 +293,7 @@ def rejection_share(spark, sf_dir: str) -> DataFrame:
 # sorts, samples, sets
 
 
-@query("t1_top_k", "SELECT source, n FROM (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1) ORDER BY n DESC, source LIMIT 10")
+@query("t1_top_k", "SELECT source, n FROM (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1) ORDER BY n DESC, source LIMIT 10")
 def top_k(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
