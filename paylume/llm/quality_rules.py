@@ -119,7 +119,7 @@ def estimates(rows: DataFrame, keys: list[str], ridge: dict[str, float], least_g
     from pyspark.sql import Window
 
     share = [p for s in STARTS for p in (0.5 - s, 0.5 + s)]
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("size"), *(F.percentile_approx(v, F.lit(share) if False else F.array(*map(F.lit, share)), 1000).alias(f"q_{v}") for v in VECTOR)).where(F.col("size") >= least_group)
+    cuts = rows.groupBy(*keys).agg(F.count("*").alias("size"), *(F.percentile_approx(v, share, 1000).alias(f"q_{v}") for v in VECTOR)).where(F.col("size") >= least_group)
     same = lambda a, b: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     tagged = rows.alias("a").join(cuts.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), *VECTOR, *(f"q_{v}" for v in VECTOR))
     fits = None
@@ -128,7 +128,7 @@ def estimates(rows: DataFrame, keys: list[str], ridge: dict[str, float], least_g
         for v in VECTOR:
             near = F.col(v).between(F.get(F.col(f"q_{v}"), F.lit(2 * i)), F.get(F.col(f"q_{v}"), F.lit(2 * i + 1)))
             inside = near if inside is None else inside & near
-        # a text outside several of the cores counts little rather than not at all, so that no start is empty
+        # a group with an empty core has one start less; without any it takes the estimate of its language
         part = tagged.where(inside).withColumn("start", F.lit(i)).select("start", *keys, *VECTOR)
         fits = part if fits is None else fits.unionByName(part)
     now = written(shape(moments(fits, ["start", *keys]), ["start", *keys], ridge, 1.0))
