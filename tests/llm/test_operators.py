@@ -343,3 +343,29 @@ def test_pipeline(spark):
     assert all(source[i] == t for i, t in kept.items()) and len({t for t in kept.values() if t}) == len([t for t in kept.values() if t])
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r["doc_id"] for r in rows} <= set(kept) and len(rows) > len(kept)
+
+
+def least_of_linked(texts, size, percent):
+    """Brute force: the least place reachable by links, by place."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set())
+    root = list(range(len(texts)))
+    linked = [(a, b) for a in root for b in root if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_duplicate_stage_takes_five_words_at_80(spark):
+    texts = list(TEXTS)
+    for n in (8, 14, 24, 25, 29, 44, 49, 50, 54, 58, 70, 120):
+        base = words(n).split()
+        texts += [" ".join(base), " ".join([*base[: n // 2], "changed", *base[n // 2 + 1 :]]), " ".join([*base[1:], "extra"]), " ".join([*base, *"some more words at the end".split()])]
+    root = least_of_linked(texts, 5, 80)
+    assert root != least_of_linked(texts, 3, 90)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, df, SMALL).collect()}
+    assert got == {i for i, r in enumerate(root) if i == r}
