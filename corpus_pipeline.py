@@ -22,9 +22,10 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked copies, the one with the least id. Links are of sets of five words with a
-    Jaccard similarity of 0.8 or more."""
-    groups = jaccard_join.classes(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi").select(docs.columns)
+    Jaccard similarity of 0.8 or more. Rows with a null id are linked with nothing and all stay."""
+    groups = jaccard_join.classes(docs.where("doc_id IS NOT NULL"), size=5, percent=80)
+    copies = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

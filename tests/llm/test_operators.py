@@ -369,3 +369,11 @@ def test_near_duplicate_stage_takes_five_words_at_80(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, df, SMALL).collect()}
     assert got == {i for i, r in enumerate(root) if i == r}
+
+
+def test_near_duplicate_stage_keeps_null_ids(spark):
+    copied, alone = words(60), words(40)
+    rows = [(2, copied, "a"), (1, copied, "b"), (None, copied, "c"), (None, alone, "d"), (None, None, "e"), (3, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r["source"] for r in corpus_pipeline.one_of_each_group(spark, df, SMALL).collect())
+    assert got == ["b", "c", "d", "e", "f"]
