@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
 Examples are a sample of labelled documents, at most ``most`` of each label, by hash of their id. The vocabulary holds
-the words whose presence goes with the label by a chi-square test, corrected for the number of words tried. Document
-frequencies are counted over all documents. The index keeps, for each word, the examples with it in blocks and each
-block's largest weight; a query visits blocks by falling upper bound and stops when no block can change its nearest
-``k``, so the result is that of a full scan. Votes weigh by similarity, and the share of toxic votes is calibrated on
-the examples themselves, each without itself, weighted back to the label frequencies of all labelled rows.
+all words of the examples. Document frequencies are counted over all documents. A text's vector is over the words of
+the vocabulary: a word that no example has changes no order of the examples, and is not counted in the vector's length.
+The lists of rare words are read whole. The words of many examples have a table by example and each block's largest
+weight; of these words, only examples are read whose upper bound, from the block or from the vectors' lengths, reaches
+the nearest ``k``, so the result is that of a full scan. Votes weigh by similarity. A second vote is that of the nearest
+examples over the words whose presence goes with the label by a chi-square test, corrected for the number of words
+tried. Both shares of toxic votes are calibrated together on the examples themselves, each without itself, weighted
+back to the label frequencies of all labelled rows.
 
 Null and empty texts, and texts without a word of the vocabulary, get the calibrated score of examples without one.
 Ties in similarity go to the example with the smaller id. Without labels of both kinds every score is the share of
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +30,11 @@ from .textkit import ALNUM, Texts, sub_batches
 U64 = np.uint64
 #: Examples in a block of the index.
 BLOCK = 32
-#: Words of the vocabulary at most, and the chance of a false one among all words tried.
+#: A word of more than this share of the examples has a column in the table, up to so many words.
+COMMON_SHARE, MOST_COMMON = 1 / 4, 512
+#: Words of the second vote at most, and the chance of a false one among all words tried.
 MOST_WORDS, FALSE_CHANCE = 20_000, 0.01
-#: Documents of examples that must hold a word of the vocabulary.
+#: Documents of examples that must hold a word of the second vote.
 LEAST_DOCUMENTS = 4
 
 
@@ -55,6 +61,13 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(count))], names=["doc_id", "label", "words", "counts"])
 
 
+def all_words(rows: list, labels: np.ndarray) -> np.ndarray:
+    """Hashes of the words of the examples, sorted; none without labels of both kinds."""
+    if not rows or labels.min() == labels.max():
+        return np.zeros(0, U64)
+    return np.unique(np.concatenate([np.array(r["words"], np.int64) for r in rows]).view(U64))
+
+
 def choose_words(rows: list, labels: np.ndarray) -> np.ndarray:
     """Hashes of the words that go with the label, sorted."""
     words = np.concatenate([np.array(r["words"], np.int64) for r in rows]).view(U64) if rows else np.zeros(0, U64)
@@ -111,10 +124,21 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         by = np.lexsort((example, word))
         self.example, self.weight = example[by], weight[by]
-        self.at = np.searchsorted(word[by], np.arange(len(words) + 1))
-        self.most = np.zeros((len(words), self.blocks))
-        np.maximum.at(self.most, (word, example // BLOCK), weight)
-        self.calibration = (0.0, 0.0)
+        self.at = np.searchsorted(word[by], np.arange(len(words) + 1)).astype(np.int32)
+        # words of many examples: a table of weights, and the largest one of each block
+        many = np.diff(self.at)
+        common = np.flatnonzero(many > len(order) * COMMON_SHARE)
+        common = common[np.argsort(-many[common], kind="stable")][:MOST_COMMON]
+        self.column = np.full(len(words), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.table = np.zeros((len(order), len(common)))
+        inside = self.column[word] >= 0 if len(word) else np.zeros(0, bool)
+        self.table[example[inside], self.column[word[inside]]] = weight[inside]
+        self.length = np.sqrt((self.table * self.table).sum(axis=1))
+        self.most = np.zeros((len(common), self.blocks))
+        np.maximum.at(self.most, (self.column[word[inside]], example[inside] // BLOCK), weight[inside])
+        self.focus: BlockMaxIndex | None = None
+        self.calibration = (0.0, 0.0, 0.0, 0.0)
         self.empty_score = 0.0
         self.memo: dict[bytes, tuple] = {}
 
@@ -125,73 +149,96 @@ class BlockMaxIndex:
 
     def nearest(self, words: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the largest cosines above 0, and these."""
-        bound = weights @ self.most[words]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        lists = [(self.example[self.at[w] : self.at[w + 1]], self.weight[self.at[w] : self.at[w + 1]], x) for w, x in zip(words.tolist(), weights.tolist(), strict=True)]
-        best, score, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while done < len(order):
-            if len(best) == self.k and bound[order[done]] < score[-1] - 1e-12:
-                break
-            some = np.sort(order[done : done + step])
-            done, step = done + step, step * 2
-            sums = np.zeros((len(some), BLOCK))
-            for examples, weight, x in lists:
-                first, last = np.searchsorted(examples, some * BLOCK), np.searchsorted(examples, (some + 1) * BLOCK)
-                for b, (i, j) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-                    if j > i:
-                        sums[b, examples[i:j] - some[b] * BLOCK] += x * weight[i:j]
-            found = np.argwhere(sums > 0)
-            ids, got = some[found[:, 0]] * BLOCK + found[:, 1], sums[found[:, 0], found[:, 1]]
-            if without is not None:
-                ids, got = ids[ids != without], got[ids != without]
-            best, score = np.r_[best, ids], np.r_[score, got]
-            keep = np.lexsort((self.docs[best], -np.round(score, 12)))[: self.k]
-            best, score = best[keep], score[keep]
-        return best, score
+        column = self.column[words]
+        rare, common = column < 0, column >= 0
+        first = self.at[words[rare]]
+        many = self.at[words[rare] + 1] - first
+        end = np.cumsum(many)
+        entry = np.repeat(first - (end - many), many) + np.arange(end[-1] if len(end) else 0)
+        part = np.bincount(self.example[entry], weights=np.repeat(weights[rare], many) * self.weight[entry], minlength=len(self.docs))
+        column, x = column[common], weights[common]
+        by_block = np.repeat(x @ self.most[column], BLOCK)[: len(self.docs)]
+        bound = part + np.minimum(by_block, np.sqrt(x @ x) * self.length)
+        if without is not None:
+            bound[without] = 0
+        exact = lambda ids: part[ids] + self.table[np.ix_(ids, column)] @ x
+        some = 4 * self.k
+        if some < len(bound):
+            likely = np.argpartition(-bound, some)[:some]
+            least = np.partition(exact(likely), -self.k)[-self.k]
+            ids = np.flatnonzero((bound >= least - 1e-9) & (bound > 0))
+        else:
+            ids = np.flatnonzero(bound > 0)
+        got = exact(ids)
+        ids, got = ids[got > 0], got[got > 0]
+        keep = np.lexsort((self.docs[ids], -np.round(got, 12)))[: self.k]
+        return ids[keep], got[keep]
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         """Share of toxic votes, weighted by nearness (squared cosine), with one vote by the mean label."""
         w = score * score
         return float((w @ self.labels[best] + 0.5) / (w.sum() + 1))
 
+    def features(self, words: tuple, chosen: tuple, without: int | None = None, without_chosen: int | None = None) -> tuple[list[float], np.ndarray, np.ndarray]:
+        """What the calibration takes: the log odds of both votes, and whether the text has no word of the second."""
+        best, near = self.nearest(*words, without=without)
+        odds = [self.vote(best, near)]
+        odds.append(self.focus.vote(*self.focus.nearest(*chosen, without=without_chosen)) if len(chosen[0]) else 0.5)
+        return [1.0, *(float(np.log(v / (1 - v))) for v in odds), float(len(chosen[0]) == 0)], best, near
+
     def calibrate(self, weights: np.ndarray) -> None:
         """Logistic curve over votes of the examples, each without itself; ``weights`` by example."""
-        votes, rows, empty = [], [], []
+        x, rows, empty = [], [], []
+        there = {d: i for i, d in enumerate(zip(self.focus.docs.tolist(), self.focus.labels.tolist(), strict=True))}
         for i in range(len(self.docs)):
             words = self.words_of[i]
             if not len(words[0]):
                 empty.append(i)
                 continue
-            votes.append(self.vote(*self.nearest(*words, without=i)))
+            j = there[int(self.docs[i]), float(self.labels[i])]
+            x.append(self.features(words, self.focus.words_of[j], i, j)[0])
             rows.append(i)
         rate = lambda ids: float((weights[ids] @ self.labels[ids] + 0.5) / (weights[ids].sum() + 1)) if len(ids) else 0.0
         self.empty_score = rate(np.array(empty, int)) if empty else rate(np.arange(len(self.docs)))
-        if not votes:
+        if not x:
             return
-        x = np.c_[np.ones(len(votes)), np.log(np.array(votes) / (1 - np.array(votes)))]
-        y, w, beta = self.labels[rows], weights[rows], np.array([0.0, 1.0])
+        x, start = np.array(x), np.array([0.0, 1.0, 1.0, 0.0])
+        y, w, beta = self.labels[rows], weights[rows], start
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ beta))
-            beta = beta + np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.eye(2) * 1e-2, x.T @ (w * (y - p)) - 1e-2 * (beta - [0.0, 1.0]))
-        self.calibration = (float(beta[0]), float(max(beta[1], 0.0)))
+            beta = beta + np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.eye(4) * 1e-2, x.T @ (w * (y - p)) - 1e-2 * (beta - start))
+        self.calibration = (float(beta[0]), float(max(beta[1], 0.0)), float(max(beta[2], 0.0)), float(beta[3]))
 
     def score(self, words: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
         if not len(words):
             return self.empty_score, []
         key = words.tobytes() + counts.tobytes()
         if (got := self.memo.get(key)) is None:
-            best, near = self.nearest(*self.vector(words, counts))
-            v = self.vote(best, near)
-            a, b = self.calibration
-            score = 1 / (1 + np.exp(-(a + b * np.log(v / (1 - v)))))
+            at, good = look_up(self.focus.words, self.words[words])
+            x, best, near = self.features(self.vector(words, counts), self.focus.vector(at[good], counts[good]))
+            score = 1 / (1 + np.exp(-(np.array(x) @ self.calibration)))
             got = float(score), [{"doc_id": int(d), "toxic": int(t), "similarity": float(s)} for d, t, s in zip(self.docs[best[:3]], self.labels[best[:3]], near[:3], strict=True)]
-            if len(self.memo) > 50_000:
+            if len(self.memo) > 5_000:
                 self.memo.clear()
             self.memo[key] = got
         return got
 
 
+def build(words: np.ndarray, idf: np.ndarray, rows: list, labels: np.ndarray, k: int) -> BlockMaxIndex:
+    """The index of the examples over these words; ``words_of`` has their vectors in its order."""
+    vectors = []
+    for r in rows:
+        at, good = look_up(words, np.array(r["words"], np.int64).view(U64))
+        w, c = at[good], np.array(r["counts"], float)[good]
+        weight = (1 + np.log(c)) * idf[w]
+        norm = np.sqrt((weight * weight).sum())
+        vectors.append((w, weight / norm if norm > 0 else weight))
+    index = BlockMaxIndex(words, idf, [r["doc_id"] for r in rows], labels, vectors, k)
+    of = {(r["doc_id"], float(r["label"])): v for r, v in zip(rows, vectors, strict=True)}
+    index.words_of = [of[d, y] for d, y in zip(index.docs.tolist(), index.labels.tolist(), strict=True)]
+    return index
+
+
 def fit(docs: DataFrame, labelled: DataFrame, most: int = 2000, k: int = 15) -> BlockMaxIndex:
     """``labelled``: doc_id, label (0 or 1). Only these rows' labels are used."""
     spark = docs.sparkSession
@@ -200,32 +247,24 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = 2000, k: int = 15) ->
     picked = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "label", "text")
-    rows = examples.mapInArrow(_example_rows, "doc_id long, label int, words array<long>, counts array<long>").collect()
+    rows = examples.mapInArrow(_example_rows, "doc_id long, label int, words array<long>, counts array<long>").toArrow().combine_chunks()
+    # as arrays: lists of Python numbers take several times the memory
+    lists = {c: np.split(pc.list_flatten(rows[c]).to_numpy(), np.cumsum(pc.list_value_length(rows[c]).to_numpy())[:-1]) if rows.num_rows else [] for c in ("words", "counts")}
+    rows = [{"doc_id": d, "label": y, "words": w, "counts": c} for d, y, w, c in zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), lists["words"], lists["counts"], strict=True)]
     rows = sorted({(r["doc_id"], r["label"]): r for r in rows}.values(), key=lambda r: (r["doc_id"], r["label"]))
     labels = np.array([r["label"] for r in rows], float)
-    words = choose_words(rows, labels)
+    words = all_words(rows, labels)
     sent = spark.sparkContext.broadcast(words)
-    counted = texts.select("text").mapInArrow(_frequency_rows(sent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = texts.select("text").mapInArrow(_frequency_rows(sent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(words) + 1)
-    for r in counted:
-        df[r["word"] + 1] = r["n"]
+    df[counted["word"].to_numpy() + 1] = counted["n"].to_numpy()
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1e-6
-    vectors = []
-    for r in rows:
-        at, good = look_up(words, np.array(r["words"], np.int64).view(U64))
-        w, c = at[good], np.array(r["counts"], float)[good]
-        weight = (1 + np.log(c)) * idf[w]
-        norm = np.sqrt((weight * weight).sum())
-        vectors.append((w, weight / norm if norm > 0 else weight))
-    index = BlockMaxIndex(words, idf, [r["doc_id"] for r in rows], labels, vectors, k)
-    place = {d: i for i, d in enumerate(index.docs.tolist())}
-    index.words_of = [None] * len(rows)
-    for r, v in zip(rows, vectors, strict=True):
-        index.words_of[place[r["doc_id"]]] = v
-    index.words_of = [v or (np.zeros(0, int), np.zeros(0)) for v in index.words_of]
+    index = build(words, idf, rows, labels, k)
+    chosen = choose_words(rows, labels)
+    index.focus = build(chosen, idf[np.searchsorted(words, chosen)], rows, labels, k)
     share = {c: totals.get(c, 0) / max((labels == c).sum(), 1) for c in (0, 1)}
     index.calibrate(np.array([share[int(c)] for c in index.labels]))
-    del index.words_of
+    del index.words_of, index.focus.words_of
     return index
 
 

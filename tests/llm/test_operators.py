@@ -377,3 +377,27 @@ def test_near_duplicate_stage_keeps_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(r["source"] for r in corpus_pipeline.one_of_each_group(spark, df, SMALL).collect())
     assert got == ["b", "c", "d", "e", "f"]
+
+
+def test_toxicity_reads_all_words_of_examples(spark):
+    """Nearest examples are those of a full scan of TF-IDF cosines over all words, label-going or not."""
+    texts = [words(12 + i) for i in range(60)]
+    texts[50] = " ".join(reversed(texts[0].split()))
+    known = {i: int(i % 9 == 0) for i in range(40)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = toxicity.fit(df, spark.createDataFrame(list(known.items()), "doc_id long, label int"))
+    got = by_id(toxicity.score(df, index))
+    counts = [Counter(t.split()) for t in texts]
+    df_of = Counter(w for c in counts for w in c)
+    inside = {w for i in known for w in counts[i]}
+
+    def vector(c):
+        v = {w: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df_of[w])) + 1e-6) for w, n in c.items() if w in inside}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    unit = [vector(c) for c in counts]
+    for i in range(len(texts)):
+        near = sorted(((-round(sum(x * unit[j].get(w, 0) for w, x in unit[i].items()), 12), j) for j in known))[:3]
+        assert [(e["doc_id"], e["toxic"]) for e in got[i]["evidence"]] == [(j, known[j]) for _, j in near]
+        assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx([-s for s, _ in near])
+    assert got[50]["evidence"][0]["doc_id"] == 0 and got[50]["evidence"][0]["similarity"] == pytest.approx(1)
