@@ -2,7 +2,9 @@
 
 Base statistics of a text's white-space words feed fixed rules. Texts that pass them are judged within their language
 and source: their transformed statistic vectors have a minimum-covariance-determinant estimate of centre and scatter,
-and a text is rejected when its squared Mahalanobis distance is over ``limit``. The estimate takes deterministic
+and a text is rejected when its squared Mahalanobis distance is over the chi-square quantile of the vector's dimension
+that all judged texts of a normal corpus stay under with a chance of 99 percent (33.2 for 9154 texts, 48.7 for 15
+million). The estimate takes deterministic
 starts (coordinate quantile cores of several widths) and concentration steps: each step keeps the ``support`` share of
 a group with the least distances and re-estimates from it, which never raises the determinant; the start that ends with
 the least determinant wins. The subset is cut by counting distances in fine logarithmic classes, so that every step is
@@ -17,6 +19,8 @@ input other than the id, text, language and source are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ VECTOR = ["v1", "v2", "v3", "v4"]
 #: median of chi-square with 4 degrees of freedom 3.3567, share of a 6-degree one below it 0.2337, 0.5 / 0.2337.
 SUPPORT, CONSISTENCY = 0.5, 2.14
 STEPS = 6
+#: Chance that any text of a normal corpus is rejected.
+FALSE_CHANCE = 0.01
 #: Distance classes per doubling.
 CLASSES = 8
 #: Halves of the central share that the starts keep in every coordinate.
@@ -150,12 +156,24 @@ def estimates(rows: DataFrame, keys: list[str], ridge: dict[str, float], least_g
     return chosen.withColumns(scaled).alias("a").join(sizes.alias("b"), same("a", "b")).select("a.*", "b.size")
 
 
-def judge(docs: DataFrame, limit: float = 200.0, least_group: int = 50) -> DataFrame:
+def chi_square_limit(tail: float, dimension: int = len(VECTOR)) -> float:
+    """The value that chi-square of an even dimension exceeds with the chance ``tail``."""
+    over = lambda x: math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(dimension // 2))
+    low, high = 0.0, 1400.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if over(middle) > tail else (low, middle)
+    return high
+
+
+def judge(docs: DataFrame, limit: float | None = None, least_group: int = 50) -> DataFrame:
     """Base statistics, ``base_failed``, ``distance`` (squared; null where the base rules fail or no estimate exists)
     and ``kept``."""
     stats = written(with_vector(statistics(docs)).withColumn("base_failed", base_failed()))
     fit = stats.where(~F.col("base_failed")).select("lang", "source", *VECTOR)
-    spread = fit.agg(*(F.coalesce(F.var_pop(v), F.lit(0.0)).alias(v) for v in VECTOR)).first()
+    spread = fit.agg(*(F.coalesce(F.var_pop(v), F.lit(0.0)).alias(v) for v in VECTOR), F.count("*").alias("texts")).first()
+    if limit is None:
+        limit = chi_square_limit(FALSE_CHANCE / max(spread["texts"], 1))
     ridge = {v: 0.02 * spread[v] + 1e-4 for v in VECTOR}
     levels = [estimates(fit.withColumn("everything", F.lit(1)) if keys == ["everything"] else fit, keys, ridge, 1 if keys == ["everything"] else least_group) for keys in (["lang", "source"], ["lang"], ["everything"])]
     fields = ["log_det", *(f"m_{v}" for v in VECTOR), *(f"l_{a}_{b}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1])]

@@ -401,3 +401,12 @@ def test_toxicity_reads_all_words_of_examples(spark):
         assert [(e["doc_id"], e["toxic"]) for e in got[i]["evidence"]] == [(j, known[j]) for _, j in near]
         assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx([-s for s, _ in near])
     assert got[50]["evidence"][0]["doc_id"] == 0 and got[50]["evidence"][0]["similarity"] == pytest.approx(1)
+
+
+def test_outlier_limit_is_a_chi_square_quantile(spark):
+    assert quality_rules.chi_square_limit(0.001) == pytest.approx(18.4668, abs=1e-3) and quality_rules.chi_square_limit(0.05) == pytest.approx(9.4877, abs=1e-3)
+    rows = [(i, words(80 + i % 17)) for i in range(200)] + [(1000 + i, words(80) + " " + "#" * i) for i in range(1, 40)]
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")))
+    limit = quality_rules.chi_square_limit(0.01 / len(rows))
+    assert all(r["kept"] == (r["distance"] <= limit) for r in got.values())
+    assert any(limit < r["distance"] <= 200 for r in got.values())
