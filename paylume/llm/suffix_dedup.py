@@ -3,8 +3,8 @@
 Suffixes that can share ``length`` bytes with another hold an anchor (see :mod:`.repeats`). They are dealt to buckets
 by the leading bytes at their anchor, with splitters that Spark samples for the range partitioning; suffixes with equal
 leading bytes meet in one bucket, so none has to be compared across a boundary. Within a bucket the suffixes of an
-anchor are sorted by multikey quicksort: by their first eight bytes, then only those that tie by the next 56, then by
-the rest of the string. Neighbours that still tie share all ``length`` bytes.
+anchor are sorted key by key: by their first eight bytes, then only those that tie by a hash of the next 56, then by
+hashes of the rest of the string. Neighbours that still tie share all ``length`` bytes, but for collisions of hashes.
 
 Null and empty texts have no bytes. Texts shorter than a string are kept whole. Very long texts are handled whole; both
 copies of a string count, also within one document. Ids are taken as unique. Other columns of the input are not read.
