@@ -1,16 +1,19 @@
 """Size-aware heavy-light Jaccard join over word n-grams, and the components of its links.
 
-Equal sets are one class. Light sets, of at most ``boundary`` shingles, enumerate the subsets of each size that an
-admissible partner must share; equal subsets of the needed size are a proof, so no check follows. Heavy sets are cut
-by hash into more ranges than a linked pair of their sizes can differ in, so a linked pair has an equal range; the
-inverted lists by content of a range are scanned for candidates. Sizes are graded in steps of ``1 / limit``, and a set
-uses the ranges of its own grade and of the one below, so that partners always use the same ranges. Sets near the
+Equal sets are one class; only the class's first document goes on. Light sets, of at most ``boundary`` shingles,
+enumerate the subsets of each size that an admissible partner must share; equal subsets of the needed size are a
+proof, so no check follows. Heavy sets go to inverted lists. A list's key is not a single shingle but all shingles of
+the set in one range of hashes. Sizes are graded in steps of ``1 / limit ** 2``, and a set uses the ranges of its own
+grade, and those of the grade below if a partner can be in it, so that linked sets always share a grade. A grade has
+more ranges than its linked sets can differ in, so they have equal ranges; ``n_ranges`` adds as many as it takes for
+the chance that all of these are empty to stay under ``2 ** -SURE``, and empty ranges get no list. Sets near the
 boundary do both. The boundary minimises the estimated rows of both parts, from the sizes of all sets.
 
 Links from the lists are found in two rounds. First each set meets the member of its lists that has the most company,
 the hub of a group of copies, which joins such a group without all its pairs. Then lists that still hold several
-components give pairs across components, unless sizes or counts by hash range rule the pair out. All pairs that are
-left are checked exactly, so no link between components is lost.
+components are compared across components: pairs are made only where sizes and the parity sketches (one bit for each
+range of hashes, flipped by each shingle; two sets differ in at least as many shingles as in bits) leave a link
+possible. What is left is checked exactly, so no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one
 shingle. Very long texts are handled whole. Ids are taken as unique. Other columns are not read. An empty table gives
@@ -35,8 +38,12 @@ from .textkit import NOT_SPACE, Texts, mix, prefix_sums, range_hash, sub_batches
 U64 = np.uint64
 #: Largest set that may count as light.
 MOST_LIGHT = 30
-#: Ranges of hashes whose counts are compared before a pair is checked.
-RANGES = 32
+#: Bits of a set's parity sketch.
+SKETCH = 1024
+#: Linked sets have no list in common with a chance under ``2 ** -SURE``, about that of equal hashes.
+SURE = 48
+#: Parts over which the members of a class are dealt.
+SALT = 16
 #: Rows of a subset that one entry of a list costs.
 LIST_COST = 2
 
@@ -74,63 +81,87 @@ def n_subsets(n: int, percent: int) -> int:
 
 
 def grade(n, percent: int):
-    """Size grade: linked sets are of one grade or of neighbouring ones."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    """Size grade, in steps of ``1 / limit ** 2``: linked sets are of one grade or of neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / (2 * np.log(100 / percent)) + 1e-9).astype(np.int64)
 
 
-def n_ranges(g, percent: int):
-    """One more than the most shingles in which linked sets of grades ``g`` and ``g + 1`` can differ."""
-    most = np.ceil((100 / percent) ** (np.asarray(g) + 2.0)) + 1
-    return (2 * most * (100 - percent) // (100 + percent)).astype(np.int64) + 1
+def lower_grade(n, percent: int):
+    """Grade of the smallest set that can be linked with one of ``n``."""
+    return grade(-(-percent * np.asarray(n) // 100), percent)
+
+
+def n_ranges(g, percent: int) -> np.ndarray:
+    """Ranges for pairs whose smaller set is of grade ``g``: over all its sizes, more than the shingles in which a
+    linked pair can differ, and so many that its common shingles all meet those with a chance under 2 ** -SURE."""
+    out = np.zeros(np.shape(g))
+    for end in (0, 1):
+        x = np.maximum((100 / percent) ** (2 * (np.asarray(g, float) + end)), 1)
+        differ, common = (100 - percent) / percent * x, 2 * percent * x / (100 + percent)
+        out = np.maximum(out, np.maximum(differ + 1, differ * 2 ** np.minimum(SURE / common, 20)))
+    return np.ceil(out).astype(np.int64) + 1
 
 
 def list_entries(n: int, percent: int) -> int:
-    g = int(grade(n, percent))
-    return int(n_ranges(g, percent)) + int(n_ranges(g - 1, percent))
+    grades = {int(grade(n, percent)), int(lower_grade(n, percent))}
+    return sum(min(n, int(n_ranges(g, percent))) for g in grades)
 
 
 def _list_rows(size: int, percent: int, above: int):
-    """Keys of the inverted lists of each set of over ``above`` shingles: the content of its hash ranges, for two
-    grades."""
+    """Keys of the inverted lists of each set of over ``above`` shingles: the content of its hash ranges, for each
+    grade that a pair can have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             hashes, of = shingle_sets(Texts(batch.column(1)), size)
             n = np.diff(of)
-            keep = n > above
-            doc = np.repeat(np.arange(len(n)), n)
-            hashes, doc = hashes[keep[doc]], doc[keep[doc]]
+            own = np.repeat(np.arange(len(n)), n)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            code = mix(hashes + U64(99))
-            for g in (grade(n, percent), grade(n, percent) - 1):
-                m = n_ranges(g, percent) * keep
-                at = np.r_[0, np.cumsum(m)]
-                place = at[:-1][doc] + (((hashes >> U64(32)) * m[doc].astype(U64)) >> U64(32)).astype(np.int64)
-                sums = np.zeros(at[-1], U64)
-                np.add.at(sums, place, code)
-                own = np.repeat(np.arange(len(n)), m)
-                where = np.arange(at[-1]) - at[:-1][own]
-                keys = mix(sums ^ mix(where.astype(U64) * U64(4096) + g[own].astype(U64) + U64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own])], names=["h", "id"])
+            mine, low = grade(n, percent), lower_grade(n, percent)
+            for g, keep in ((mine, n > above), (low, (n > above) & (low < mine))):
+                good = keep[own]
+                h, doc = hashes[good], own[good]
+                if not len(h):
+                    continue
+                # shingles are sorted, so a range is a run of them
+                place = ((h >> U64(32)) * n_ranges(g, percent)[doc].astype(U64)) >> U64(32)
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
+                sums = np.add.reduceat(mix(h + U64(99)), first)
+                keys = mix(sums ^ mix(place[first] * U64(4096) + g[doc[first]].astype(U64) + U64(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[doc[first]])], names=["h", "id"])
 
     return run
 
 
 def _node_rows(size: int):
+    """Number of shingles and two fingerprints of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            hashes, of = shingle_sets(Texts(batch.column(1)), size)
+            codes = []
+            for salt in (3, 5):
+                sums = np.zeros(len(hashes) + 1, U64)
+                np.cumsum(mix(hashes * U64(salt)), out=sums[1:])
+                codes.append(pa.array((sums[of[1:]] - sums[of[:-1]]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(of)), *codes], names=["doc_id", "n", "fp1", "fp2"])
+
+    return run
+
+
+def _head_rows(size: int):
+    """Parity sketch, the shingles of small sets, and the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             hashes, of = shingle_sets(Texts(batch.column(1)), size)
             n = np.diff(of)
-            doc = np.repeat(np.arange(len(n)), n)
-            codes = [np.zeros(len(n) + 1, U64) for _ in range(2)]
-            for code, salt in zip(codes, (1, 2), strict=True):
-                np.cumsum(np.r_[U64(0), mix(hashes * U64(2 * salt + 1))], out=(sums := np.zeros(len(hashes) + 1, U64)))
-                code[: len(n)] = sums[of[1:]] - sums[of[:-1]]
-            ranges = np.bincount(doc * RANGES + (hashes >> U64(59)).astype(np.int64), minlength=len(n) * RANGES).astype(np.int32)
+            own = np.repeat(np.arange(len(n)), n)
+            odd = np.bincount(own * SKETCH + (hashes % U64(SKETCH)).astype(np.int64), minlength=len(n) * SKETCH) % 2
+            bits = np.packbits(odd.astype(bool)).view(np.int64)
             light = [hashes[a:b].view(np.int64) if b - a <= MOST_LIGHT else None for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(codes[0][:-1].view(np.int64)), pa.array(codes[1][:-1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * RANGES), pa.array(ranges)), pa.array(light, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp1", "fp2", "ranges", "small"],
+                [batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bits)), pa.array(light, pa.list_(pa.int64())), batch.column(1)],
+                names=["id", "n", "bits", "small", "text"],
             )
 
     return run
@@ -183,9 +214,11 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     by links), and ``n_links`` (checked links of the class found on the way; enough to connect it)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = written(rows.mapInArrow(_node_rows(size), "doc_id long, n long, fp1 long, fp2 long, ranges array<int>, small array<long>"))
-    same = nodes.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id"))
-    heads = written(nodes.join(same.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "ranges", "small"))
+    nodes = written(rows.mapInArrow(_node_rows(size), "doc_id long, n long, fp1 long, fp2 long"))
+    same = nodes.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("members"))
+    heads = rows.join(same.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text")
+    heads = written(heads.mapInArrow(_head_rows(size), "id long, n long, bits array<long>, small array<long>, text string"))
+    release(spark)
     by_size = {r[0]: r[1] for r in heads.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
     boundary = choose_boundary(by_size, percent)
 
@@ -193,24 +226,26 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     subsets = heads.where(F.col("n") <= boundary).select("id", "n", "small").mapInArrow(_subset_rows(percent), "h long, c int, n long, id long")
     least = subsets.groupBy("h", "c", "n").agg(F.min("id").alias("v"))
     light = subsets.join(least.withColumnRenamed("n", "m"), ["h", "c"]).where((F.col("id") != F.col("v")) & (F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
-    light = light.select(F.col("id").alias("u"), "v").distinct()
+    light = written(light.select(F.col("id").alias("u"), "v").distinct())
+    del subsets, least
+    release(spark)
 
-    # heavy sets: lists with two or more members
-    posts = rows.mapInArrow(_list_rows(size, percent, boundary * percent // 100), "h long, id long").repartition("h")
-    lists = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    busy = written(posts.join(lists, "h").distinct().join(heads.select("id", "n"), "id"))
+    # heavy sets: lists of two or more sets; both sides of the join read one exchange
+    posts = heads.where(F.col("n") > boundary * percent // 100).select("id", "text").mapInArrow(_list_rows(size, percent, boundary * percent // 100), "h long, id long").repartition("h")
+    lists = posts.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).where("first < last")
+    busy = written(posts.join(lists.select("h", "m"), "h"))
     del posts, lists
     release(spark)
-    many = busy.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    busy = busy.join(many, "h")
     company = busy.groupBy("id").agg(F.sum("m").alias("company"))
-    entries = written(busy.join(company, "id").drop("m"))
-    del busy, company, many
+    entries = written(busy.drop("m").join(company.join(heads.select("id", "n"), "id"), "id"))
+    del busy, company
+    release(spark)
     hub = entries.groupBy("h").agg(F.max(F.struct("company", F.negative("id").alias("minus"), "n")).alias("hub"))
     first = entries.join(hub, "h").select("id", "n", F.negative("hub.minus").alias("v"), F.col("hub.n").alias("m"), F.col("hub.company").alias("company")).where("id <> v")
     first = first.where(F.least("n", "m") * 100 >= percent * F.greatest("n", "m")).groupBy("id").agg(F.max(F.struct("company", F.negative("v").alias("minus"))).alias("best"))
     first = first.select(F.col("id").alias("u"), F.negative("best.minus").alias("v"))
-    sets = written(rows.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows(size), "id long, items array<long>"))
+    texts = heads.select(F.col("id").alias("doc_id"), "text").join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(texts.mapInArrow(_set_rows(size), "id long, items array<long>"))
     release(spark)
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -219,30 +254,33 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         return with_both.withColumn("both", F.size(F.array_intersect("a", "b"))).where(linked(percent, "size(a)", "size(b)", "both")).select("u", "v")
 
     found = written(checked(first).unionByName(light))
-    del first, hub, subsets, least, light
+    del first, hub, light
     release(spark)
     labels = components(found)
     # pairs across components of a list
     named = entries.join(labels, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    some = named.join(mixed, "h").join(heads.select("id", "ranges"), "id")
-    right = some.select("h", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "ranges")))
-    apart = F.aggregate(F.zip_with("ranges", "ranges_", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    some = written(named.join(mixed, "h"))
+    sketch = heads.join(some.select("id").distinct(), "id", "left_semi").select("id", "bits")
+    some = some.join(sketch, "id")
+    right = some.select("h", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "bits")))
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     pairs = some.join(right, "h").where(
         (F.col("component") < F.col("component_")) & (F.least("n", "n_") * 100 >= percent * F.greatest("n", "n_")) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_")))
     )
     more = checked(pairs.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct())
     links = written(found.unionByName(more))
-    del named, mixed, some, right, pairs, more
+    del named, mixed, some, right, pairs, more, sketch
     release(spark)
     labels = components(links)
     degree = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
-    member = nodes.join(same, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"))
-    return (
-        member.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-        .join(degree, "class_id", "left")
-        .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    )
+    # members of one class are dealt over several tasks
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int")
+    told = same.join(labels, "id", "left").join(degree.withColumnRenamed("class_id", "id"), "id", "left")
+    parts = F.when(F.col("members") > 1, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(salt("id")))
+    told = told.select("n", "fp1", "fp2", "id", "component", "n_links", F.explode(parts).alias("salt"))
+    member = nodes.withColumn("salt", salt("doc_id")).join(told, ["n", "fp1", "fp2", "salt"], "left")
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("class_id"), F.coalesce("component", "id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

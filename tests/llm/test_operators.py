@@ -96,13 +96,13 @@ def test_many_contexts_of_one_anchor(spark):
         assert got == want
 
 
-def sets_of(text):
+def sets_of(text, size=3):
     w = WORD.findall((text or "").lower())
-    return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
-def reachable(texts, limit=90):
-    sets = [sets_of(t) for t in texts]
+def reachable(texts, limit=90, size=3):
+    sets = [sets_of(t, size) for t in texts]
     root = list(range(len(texts)))
     for _ in texts:
         for a in range(len(texts)):
@@ -126,6 +126,22 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard_join.classes(none).count() == 0
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join_of_a_group_about_the_limit(spark, size, percent):
+    """Near copies of one text that differ in one to twelve places; some are linked, some aren't."""
+    base = words(160).split()
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for j in range(i % 13):
+            w[(i * 31 + j * 12) % 160] = f"change{i}x{j}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = reachable(texts, percent, size)[1]
+    assert [r["component_id"] for r in jaccard_join.classes(df, size, percent).orderBy("doc_id").collect()] == want
+    assert 1 < len(set(want)) < 40
+
+
 def test_light_boundary_changes_nothing(spark, monkeypatch):
     texts = [t for n in (12, 20, 26, 30) for b in [words(n)] for t in (b, b + " more", " ".join(b.split()[1:]))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
