@@ -4,14 +4,18 @@ A window is ``length`` consecutive tokens of one document. Its anchor is the gra
 least hash (leftmost on ties), so equal windows have their anchors at equal places, and one anchor serves a run of
 neighbouring windows: about ``2 / (length - gram + 2)`` anchors per token instead of one suffix per token. Steps:
 
-1. count anchors over all documents (map-side combined) and keep those that occur twice or more;
-2. bring the kept anchors back to their documents, which are written once with what the last step needs;
-3. cut out each kept anchor's context, the tokens of its run of windows; equal contexts meet inside the task first;
-4. contexts are dealt by anchor, and each bucket decides exactly, by the named method, which windows repeat. Anchors
-   with more than ``hot`` contexts send single windows instead, which meet in a map-side combined aggregate;
-5. the verdicts go back to the occurrences and each document drops the covered tokens.
-
-No step gathers an unbounded key: only counts, and per document lists bounded by its own length.
+1. count anchors over all documents (map-side combined) and write those that occur twice or more;
+2. bring the kept anchors back to their documents, but not to further copies of a whole text, which are decided at once;
+3. cut out each kept anchor's context, the tokens of its run of windows, with the places where it stands; this table is
+   written, and equal contexts are folded into one before anything compares contexts;
+4. distinct contexts are dealt by anchor to groups that fit in memory, and the named method decides exactly which of
+   their windows repeat. An anchor with more than ``GROUP`` distinct contexts doesn't fit: its windows are told apart by
+   all their tokens instead of the anchor's, and such a group holds equal windows only, so that a count or a least id,
+   combined map-side, is all there is to decide;
+5. the verdicts go back to the places and each document drops the covered tokens.
+
+No step gathers an unbounded key: only counts, and per document lists bounded by its own length. Joins are left to
+AQE, which splits hot keys.
 """
 
 from __future__ import annotations
@@ -29,10 +33,14 @@ from .shared import release, written
 from .textkit import NOT_SPACE, Texts, mix, powers, prefix_sums, range_hash, sub_batches
 
 U64 = np.uint64
-#: Contexts that a task holds before it passes them on.
-HELD = 100_000
-#: Bytes of contexts that a bucket resolves at once, but whole anchors.
-CHUNK_BYTES = 1 << 20
+#: Bytes of contexts that a task holds, to fold equal ones, before it passes them on.
+HELD_BYTES = 1 << 24
+#: Distinct contexts of one anchor that are resolved in memory.
+GROUP = 8192
+#: Bytes of contexts that are resolved at once, but whole anchors.
+CHUNK_BYTES = 1 << 21
+#: Parts over which copies of one text are dealt.
+SALT = 16
 
 
 @dataclass(frozen=True)
@@ -44,7 +52,6 @@ class Kind:
     gram: int
     words: bool
     earlier: bool
-    hot: int
     #: Runs are split by the anchor's place in the window into so many parts; all windows of a part share a core of
     #: tokens around the anchor, whose hash takes the place of the gram's. More parts, longer cores, fewer false repeats.
     parts: int = 1
@@ -128,100 +135,75 @@ def _anchor_rows(kind: Kind):
     return run
 
 
-def _base_rows(kind: Kind):
-    """Number of tokens and checksum of the whole document; the text only of documents with kept anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text"):
-            tokens = Tokens(Texts(batch.column(1)), kind)
-            sums = [hashlib.sha256(tokens.bytes_of(a, b)).hexdigest() for a, b in zip(tokens.of[:-1].tolist(), tokens.of[1:].tolist(), strict=True)]
-            text = pa.array([t if h else None for t, h in zip(batch.column(1).to_pylist(), batch.column(2).is_valid().to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(tokens.of)), pa.array(sums, pa.string()), text, batch.column(2)], names=["doc_id", "n_tokens", "sha256", "text", "keep"])
-
-    return run
-
-
 def runs_of(batch: pa.RecordBatch, kind: Kind):
-    """Runs of a sub-batch with kept anchors; ``keep`` lists a document's kept anchors, negative numbers of hot ones
-    in a second list."""
-    texts = Texts(batch.column("text"))
-    tokens = Tokens(texts, kind)
+    """Runs of a sub-batch whose anchors are listed in ``keep``."""
+    tokens = Tokens(Texts(batch.column("text")), kind)
     doc, first, many, place, hashes = anchors(tokens.value, tokens.of, kind)
     keep = batch.column("keep")
-    flat = keep.flatten()
     own = np.repeat(np.arange(len(keep)), np.diff(keep.offsets.to_numpy()))
-    kept, hot = flat.field("h").to_numpy(zero_copy_only=False).view(U64), flat.field("hot").to_numpy(zero_copy_only=False)
-    order = np.lexsort((kept, own))
-    key = mix(kept + (own.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    key, hot = key[order], hot[order]
-    mine = mix(hashes + (doc.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-    at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-    good = key[at] == mine if len(key) else np.zeros(len(mine), bool)
-    hot = hot[at] & good if len(key) else good
-    return tokens, *(x[good] for x in (doc, first, many, place, hashes, hot))
+    kept = keep.flatten().to_numpy(zero_copy_only=False).view(U64)
+    of = lambda h, d: mix(h + (d.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    good = np.isin(of(hashes, doc), of(kept, own))
+    return tokens, *(x[good] for x in (doc, first, many, place, hashes))
 
 
 def context_hash(tokens: Tokens, first: np.ndarray, last: np.ndarray, which: int = 1) -> np.ndarray:
     return range_hash(prefix_sums(tokens.value, which), first, last, which)
 
 
+_CONTEXTS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("context", pa.binary()), ("anchor", pa.int32()), ("places", pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int32())])))])
+CONTEXTS = "h long, c long, context binary, anchor int, places array<struct<doc_id:long,first:int>>"
+
+
 def _context_rows(kind: Kind):
-    """Contexts of the anchors that aren't hot, counted within the task."""
+    """Contexts and their places; equal ones within the task make one row."""
 
     def out(held: dict) -> pa.RecordBatch:
         h, c = zip(*held, strict=True) if held else ((), ())
-        rest = list(zip(*held.values(), strict=True)) if held else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(rest[0], pa.binary()), pa.array(rest[1], pa.int32()), pa.array(rest[2], pa.int64()), pa.array(rest[3], pa.int64())], names=["h", "c", "context", "anchor", "first_doc", "n"])
+        context, anchor, docs, first = zip(*held.values(), strict=True) if held else ((), (), (), ())
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, np.cumsum([len(x) for x in docs])].astype(np.int32)), pa.StructArray.from_arrays([pa.array([y for x in docs for y in x], pa.int64()), pa.array([y for x in first for y in x], pa.int32())], names=["doc_id", "first"])
+        )
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(context, pa.binary()), pa.array(anchor, pa.int32()), lists], schema=_CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[tuple[int, int], tuple] = {}
+        size = 0
         for batch in sub_batches(batches, "text"):
-            tokens, doc, first, many, place, hashes, hot = runs_of(batch, kind)
+            tokens, doc, first, many, place, hashes = runs_of(batch, kind)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
             last = first + many + kind.length - 1
             codes = context_hash(tokens, first, last).view(np.int64)
-            for h, c, a, b, p, i, skip in zip(hashes.view(np.int64).tolist(), codes.tolist(), first.tolist(), last.tolist(), place.tolist(), ids.tolist(), hot.tolist(), strict=True):
-                if skip:
-                    continue
+            for h, c, a, b, p, i, f in zip(hashes.view(np.int64).tolist(), codes.tolist(), first.tolist(), last.tolist(), place.tolist(), ids.tolist(), (first - tokens.of[doc]).tolist(), strict=True):
                 if (x := held.get((h, c))) is None:
-                    held[h, c] = [tokens.bytes_of(a, b), p - a, i, 1]
-                else:
-                    x[2] = min(x[2], i)
-                    x[3] += 1
-            if len(held) > HELD:
+                    held[h, c] = x = (tokens.bytes_of(a, b), p - a, [], [])
+                    size += len(x[0])
+                x[2].append(i)
+                x[3].append(f)
+                size += 16
+            if size > HELD_BYTES:
                 yield out(held)
-                held = {}
+                held, size = {}, 0
         yield out(held)
 
     return run
 
 
-def _occurrence_rows(kind: Kind):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text"):
-            tokens, doc, first, many, _, hashes, hot = runs_of(batch, kind)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-            codes = context_hash(tokens, first, first + many + kind.length - 1)
-            cold = ~hot
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes.view(np.int64)[cold], codes.view(np.int64)[cold], ids[cold], (first - tokens.of[doc]).astype(np.int32)[cold])], names=["h", "c", "doc_id", "first"])
-
-    return run
-
-
 def _window_rows(kind: Kind):
-    """Single windows of hot anchors, by two hashes of their content, with their place."""
+    """Single windows of contexts, by two hashes of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text"):
-            tokens, doc, first, many, _, _, hot = runs_of(batch, kind)
-            doc, first, many = doc[hot], first[hot], many[hot]
-            if not len(doc):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            start = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            doc = np.repeat(doc, many)
-            a, b = (context_hash(tokens, start, start + kind.length, which) for which in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), batch.column("doc_id").to_numpy(zero_copy_only=False)[doc], (start - tokens.of[doc]).astype(np.int32))], names=["h", "c", "doc_id", "first"])
+            tokens = Tokens(Texts(batch.column("context")), kind)
+            many = np.diff(tokens.of) - kind.length + 1
+            row = np.repeat(np.arange(len(many)), many)
+            k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = tokens.of[row] + k
+            a, b = (context_hash(tokens, start, start + kind.length, which).view(np.int64) for which in (0, 1))
+            h, c, first_doc, n = (batch.column(x).to_numpy(zero_copy_only=False)[row] for x in ("h", "c", "first_doc", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, h, c, k.astype(np.int32), first_doc, n)], names=["a", "b", "h", "c", "k", "first_doc", "n"])
 
     return run
 
@@ -248,20 +230,24 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _final_rows(kind: Kind):
+def _final_rows(kind: Kind, texts: bool):
+    """What each document keeps, from ``marks`` of repeated windows and ``copy``, whether its whole text is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            tokens = Tokens(Texts(batch.column(1)), kind)
-            marks = batch.column(2).to_pylist()
+            tokens = Tokens(Texts(batch.column("text")), kind)
             out: list[list] = [[], [], [], [], []]
-            for i, doc_marks in enumerate(marks):
+            for i, (marks, copy) in enumerate(zip(batch.column("marks").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
                 low, n = int(tokens.of[i]), int(tokens.of[i + 1] - tokens.of[i])
-                change = np.zeros(n + 1, np.int32)
-                for first, mask in (tuple(x.values()) for x in doc_marks):
-                    starts = first + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8)))
+                gone = np.zeros(n, bool)
+                if copy and n >= kind.length:
+                    gone[:] = True
+                elif marks:
+                    change = np.zeros(n + 1, np.int32)
+                    starts = np.concatenate([m["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["mask"], np.uint8))) for m in marks])
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + kind.length, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                    gone = np.cumsum(change[:-1]) > 0
                 edge = np.diff(np.r_[False, gone, False].astype(np.int8))
                 spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
                 kept, at = [], 0
@@ -270,51 +256,70 @@ def _final_rows(kind: Kind):
                         kept.append(tokens.bytes_of(low + at, low + a))
                     at = b
                 body = (b" " if kind.words else b"").join(kept)
-                for column, value in zip(out, (int(gone.sum()), len(spans), hashlib.sha256(body).hexdigest(), body, [{"start": a, "end": b} for a, b in spans]), strict=True):
+                for column, value in zip(out, (int(gone.sum()), len(spans), hashlib.sha256(body).hexdigest(), body if texts else None, [{"start": a, "end": b} for a, b in spans] if texts else None), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_removed", "n_spans", "sha256", "kept", "spans"])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(tokens.of)), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
     return run
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """``doc_id, first`` of all documents whose whole text another one has too; ``first`` is the least id with it."""
+    coded = rows.where("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.sha2(F.col("text"), 256).alias("code"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    several = coded.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("code", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return written(coded.join(several, ["code", "salt"]).select("doc_id", "first"))
+
+
+def packed(flags: F.Column, kind: Kind) -> F.Column:
+    """An array of flags, a run's first window first, as bits of a binary value."""
+    octets = -(-(kind.length - kind.gram + 1) // 8)
+    bits = F.rpad(F.array_join(F.transform(flags, lambda x: F.when(x, "1").otherwise("0")), ""), octets * 8, "0")
+    return F.unhex(F.concat(*(F.lpad(F.conv(F.substring(bits, i * 8 + 1, 8), 2, 16), 2, "0") for i in range(octets))))
+
+
 def find(docs: DataFrame, kind: Kind, resolve: Callable, dealt: Callable[[DataFrame], DataFrame], texts: bool = True) -> DataFrame:
-    """Per document: n_tokens, n_removed, n_spans, kept_sha256 and, if ``texts``, ``kept`` (binary, null where nothing
-    was removed) and ``spans``. ``resolve``: a task's function over sorted contexts that gives (h, c, mask or earliest
+    """Per document: n_tokens, n_removed, n_spans, kept_sha256 and, if ``texts``, ``kept`` (binary) and ``spans``.
+    ``resolve``: a task's function over distinct contexts sorted by anchor that gives (h, c, mask or earliest
     documents); ``dealt`` deals contexts to buckets, anchors whole."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # dealt by anchor once; counting and the join below both use this exchange
-    found = rows.mapInArrow(_anchor_rows(kind), "h long, doc_id long, n int").repartition("h")
+    own = rows.where("doc_id IS NOT NULL")
+    same = copies(rows)
+    found = own.mapInArrow(_anchor_rows(kind), "h long, doc_id long, n int")
     repeated = "min(doc_id) < max(doc_id)" if kind.earlier else "sum(n) > 1"
-    kept = found.groupBy("h").agg(F.sum("n").alias("total"), F.expr(repeated).alias("again")).where("again").select("h", (F.col("total") > kind.hot).alias("hot"))
-    keep = found.select("h", "doc_id").join(kept, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("keep"))
-    joined = rows.join(keep, "doc_id", "left").select("doc_id", "text", "keep")
-    base = written(joined.mapInArrow(_base_rows(kind), "doc_id long, n_tokens long, sha256 string, text string, keep array<struct<h:long,hot:boolean>>"), "gzip")
-    del found, kept, keep, joined
+    kept = written(found.groupBy("h").agg(F.expr(repeated).alias("again")).where("again").select("h"))
+    release(spark)
+    keep = found.select("h", "doc_id").join(kept, "h").groupBy("doc_id").agg(F.collect_list("h").alias("keep"))
+    keep = keep.join(same.where("doc_id <> first").select("doc_id"), "doc_id", "left_anti")
+    contexts = written(own.join(keep, "doc_id").select("doc_id", "text", "keep").mapInArrow(_context_rows(kind), CONTEXTS))
+    del found, kept, keep
+    release(spark)
+    folded = contexts.select("h", "c", "context", "anchor", F.array_min(F.col("places.doc_id")).alias("first_doc"), F.size("places").alias("n"))
+    whole = written(folded.groupBy("h", "c", "context", "anchor").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n")))
+    del folded
+    release(spark)
+    sizes = whole.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1")
+    groups = whole.join(sizes, "h")
+    form = "h long, c long, first_docs array<long>, mask binary"
+    verdict = dealt(groups.where(F.col("m") <= GROUP)).sortWithinPartitions("h").select("h", "c", "context", "anchor", "first_doc", "n").mapInArrow(resolve, form)
+    windows = groups.where(F.col("m") > GROUP).select("h", "c", "context", "first_doc", "n").mapInArrow(_window_rows(kind), "a long, b long, h long, c long, k int, first_doc long, n long")
+    least = windows.groupBy("a", "b").agg(F.min("first_doc").alias("least"), F.sum("n").alias("total"))
+    told = windows.select("a", "b", "h", "c", "k").join(least, ["a", "b"]).groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("k", "least", "total"))).alias("w"))
+    if kind.earlier:
+        told = told.select("h", "c", F.col("w.least").alias("first_docs"), F.lit(None).cast("binary").alias("mask"))
+    else:
+        again = F.transform("w.total", lambda x: x > 1)
+        told = told.where(F.exists(again, lambda x: x)).select("h", "c", F.lit(None).cast("array<long>").alias("first_docs"), packed(again, kind).alias("mask"))
+    verdict = written(verdict.unionByName(told))
+    del groups, windows, least, told, whole
     release(spark)
-    some = base.where("keep IS NOT NULL").select("doc_id", "text", "keep")
-    contexts = dealt(some.mapInArrow(_context_rows(kind), "h long, c long, context binary, anchor int, first_doc long, n long"))
-    places = some.mapInArrow(_occurrence_rows(kind), "h long, c long, doc_id long, first int")
-    lead = [c for c in contexts.columns if c == "lead"]
-    whole = contexts.groupBy("h", "c", "context", "anchor", *lead).agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n")).drop("lead").sortWithinPartitions("h")
-    verdict = whole.mapInArrow(resolve, "h long, c long, first_docs array<long>, mask binary" if kind.earlier else "h long, c long, mask binary")
-    marks = places.join(verdict, ["h", "c"])
+    marks = contexts.select("h", "c", F.explode("places").alias("place")).select("h", "c", "place.*").join(verdict, ["h", "c"])
     if kind.earlier:
-        # a window's mark: bit set where its earliest document is before this one
-        bits = F.transform("first_docs", lambda x: F.when(x < F.col("doc_id"), F.lit("1")).otherwise(F.lit("0")))
-        text = F.rpad(F.array_join(bits, ""), 16, "0")
-        marks = marks.where(F.array_min("first_docs") < F.col("doc_id")).withColumn("mask", F.unhex(F.lpad(F.conv(text, 2, 16), 4, "0")))
-    marks = marks.select("doc_id", "first", "mask")
-    windows = some.where("exists(keep, x -> x.hot)").mapInArrow(_window_rows(kind), "h long, c long, doc_id long, first int")
-    first = windows.groupBy("h", "c").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    first = first if kind.earlier else first.where("n > 1")
-    single = windows.join(first, ["h", "c"]).where(F.col("first_doc") < F.col("doc_id") if kind.earlier else F.lit(True)).select("doc_id", "first", F.unhex(F.lit("80")).alias("mask"))
-    by_doc = marks.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
-    hit = base.where("keep IS NOT NULL").select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "marks")
-    done = hit.mapInArrow(_final_rows(kind), "doc_id long, n_removed long, n_spans long, sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    done = done.select("doc_id", "n_removed", "n_spans", F.col("sha256").alias("_sha"), *(["kept", "spans"] if texts else []))
-    return (
-        base.select("doc_id", "n_tokens", "sha256")
-        .join(done, "doc_id", "left")
-        .select("doc_id", "n_tokens", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("_sha", "sha256").alias("kept_sha256"), *(["kept", "spans"] if texts else []))
-    )
+        marks = marks.where(F.array_min("first_docs") < F.col("doc_id")).withColumn("mask", packed(F.transform("first_docs", lambda x: x < F.col("doc_id")), kind))
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    gone = same.select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy")) if kind.earlier else same.select("doc_id", F.lit(True).alias("copy"))
+    told = marks.join(gone, "doc_id", "full")
+    done = rows.join(told, "doc_id", "left").select("doc_id", "text", "marks", "copy")
+    done = done.mapInArrow(_final_rows(kind, texts), "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    return done if texts else done.drop("kept", "spans")

@@ -1,14 +1,16 @@
 """Substring removal with prefix-partitioned suffix trees over words.
 
 A suffix that can repeat starts at a window of ``length`` words. Its prefix, of variable length, runs from the window's
-first word to the end of the window's anchor (see :mod:`.repeats`); the anchor deals suffixes to groups that fit in
-memory, and anchors with more contexts than that are split further, by the whole window. Each group grows the top of
-its suffix tree level by level: the children of a node are its suffixes' next words, and branches with one suffix are
-leaves and are left. Nodes at depth ``length`` are the deep internal nodes; each keeps the least document id below it.
+first word to the end of the window's anchor (see :mod:`.repeats`). Suffixes are dealt by these prefixes to groups that
+fit in memory; prefixes with more contexts than that are lengthened to the whole window. Within a group the suffixes
+are sorted word by word. The words that neighbours share from their starts are the depths of the inner nodes of the
+group's suffix tree, and a run of neighbours that share at least ``length`` words is all that hangs below a topmost
+deep node, a repeat. Each such node keeps the least document id below it, and a document loses the repeats that stand
+in an earlier one.
 
 Null and empty texts have no words. Texts with fewer words than a window are kept whole. Equal texts keep the one with
-the least id. Very long texts are handled whole. Ids are taken as unique; null ids match nothing. Other columns of the
-input are not read. An empty table gives an empty result.
+the least id. Very long texts are handled whole. Ids are taken as unique; documents with a null id are kept whole and
+match nothing. Other columns of the input are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,21 +28,23 @@ from .textkit import NOT_SPACE, Texts, mix
 U64 = np.uint64
 
 
-def children(node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level of the tree: each suffix's child node, and whether another suffix shares it."""
-    _, child, count = np.unique(mix(node.astype(U64) * U64(0x9E3779B97F4A7C15) + word), return_inverse=True, return_counts=True)
-    return child, count[child] > 1
+def sorted_suffixes(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (rows of word numbers) by group, then word by word, and how many words each shares with the
+    one before it; -1 where a group begins."""
+    order = np.lexsort((*words.T[::-1], group))
+    shared = np.zeros(len(order), np.int64)
+    equal = np.r_[False, group[order][1:] == group[order][:-1]]
+    shared[~equal] = -1
+    for column in words.T:
+        column = column[order]
+        equal[1:] &= column[1:] == column[:-1]
+        shared += equal
+    return order, shared
 
 
-def deep_nodes(root: np.ndarray, words: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (by number) below an internal node of that depth, and their nodes."""
-    alive, node = np.arange(len(start)), root
-    for level in range(depth):
-        node, shared = children(node, words[start[alive] + level])
-        alive, node = alive[shared], node[shared]
-        if not len(alive):
-            break
-    return alive, node
+def deep_nodes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the topmost tree node of at least that depth above each sorted suffix; one of its own for a leaf."""
+    return np.cumsum(shared < depth) - 1
 
 
 def trees(kind: repeats.Kind):
@@ -48,31 +52,32 @@ def trees(kind: repeats.Kind):
         for table in repeats.chunks(batches):
             texts = Texts(table.column("context"))
             starts, ends, of = texts.words(NOT_SPACE)
-            words = texts.hashes(starts, ends)
-            h, anchor, first_doc, n = (table.column(c).to_numpy() for c in ("h", "anchor", "first_doc", "n"))
+            _, words = np.unique(texts.hashes(starts, ends), return_inverse=True)
+            h, anchor, first_doc = (table.column(c).to_numpy() for c in ("h", "anchor", "first_doc"))
             many = np.diff(of) - kind.length + 1
             context = np.repeat(np.arange(len(many)), many)
             offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            root = mix(h.view(U64)[context] + (anchor[context] - offset).astype(U64))
-            alive, node = deep_nodes(root, words, of[context] + offset, kind.length)
             earliest = first_doc[context]
-            if len(alive):
-                least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, node, first_doc[context[alive]])
-                earliest[alive] = np.minimum(earliest[alive], least[node])
-            keep = n > 1
-            keep[context[alive]] = True
-            if keep.any():
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many[keep])].astype(np.int32)), pa.array(earliest[keep[context]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(table.column("c").to_numpy()[keep]), lists, pa.nulls(int(keep.sum()), pa.binary())], names=["h", "c", "first_docs", "mask"])
+            # a context without another of its anchor has no branch below it
+            same = np.r_[False, h[1:] == h[:-1]]
+            some = np.flatnonzero((same | np.r_[same[1:], False])[context])
+            if len(some):
+                prefix = mix(h.view(U64)[context[some]] + (anchor[context[some]] - offset[some]).astype(U64))
+                suffixes = words[(of[context[some]] + offset[some])[:, None] + np.arange(kind.length)].astype(np.int32)
+                order, shared = sorted_suffixes(prefix, suffixes)
+                node = deep_nodes(shared, kind.length)
+                least = np.minimum.reduceat(earliest[some[order]], np.flatnonzero(np.r_[True, node[1:] != node[:-1]]))
+                earliest[some[order]] = least[node]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(earliest))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(table.column("c").to_numpy()), lists, pa.nulls(len(many), pa.binary())], names=["h", "c", "first_docs", "mask"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, texts: bool = True) -> DataFrame:
     """Per document what is left after dropping each word in a window whose words also stand in a document with a
-    smaller id: n_tokens, n_removed, n_spans, kept_sha256, ``kept`` (null: unchanged) and ``spans`` of words."""
-    kind = repeats.Kind(length, max(1, length // 3), True, True, 20_000)
+    smaller id: n_tokens, n_removed, n_spans, kept_sha256, ``kept`` (words joined by a space) and ``spans`` of words."""
+    kind = repeats.Kind(length, max(1, length // 3), True, True)
     return repeats.find(docs, kind, trees(kind), lambda contexts: contexts.repartition("h"), texts)
 
 

@@ -52,21 +52,21 @@ def gone_spans(tokens, length, repeated):
     return gone
 
 
-def test_substring_dedup(docs, none):
-    got = by_id(substring_dedup.remove_repeats(docs))
+@pytest.mark.parametrize("length", [13, 40, 60])
+def test_substring_dedup(docs, none, length):
+    got = by_id(substring_dedup.remove_repeats(docs, length))
     first = {}
     for i, t in enumerate(TEXTS):
         w = WORD.findall(t or "")
-        for s in range(len(w) - 12):
-            first.setdefault(tuple(w[s : s + 13]), i)
+        for s in range(len(w) - length + 1):
+            first.setdefault(tuple(w[s : s + length]), i)
     for i, t in enumerate(TEXTS):
         w = WORD.findall(t or "")
-        gone = gone_spans(w, 13, lambda g, i=i: first[g] < i)
+        gone = gone_spans(w, length, lambda g, i=i: first[g] < i)
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         assert (got[i]["n_tokens"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
-        if got[i]["kept"] is not None:
-            assert bytes(got[i]["kept"]).decode() == kept
-    assert substring_dedup.remove_repeats(none).count() == 0
+        assert bytes(got[i]["kept"]).decode() == kept
+    assert substring_dedup.remove_repeats(none, length).count() == 0
 
 
 @pytest.mark.parametrize("length", [400, 40])
@@ -79,21 +79,37 @@ def test_suffix_dedup(docs, none, length):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert (got[i]["n_tokens"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
         assert got[i]["n_spans"] == sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
+        assert bytes(got[i]["kept"]) == kept
     assert suffix_dedup.remove_repeats(none, length).count() == 0
 
 
-def test_many_contexts_of_one_anchor(spark):
-    """The path for hot anchors gives what the other one gives."""
+def test_many_contexts_of_one_anchor(spark, monkeypatch):
+    """Groups beyond the memory bound, whose prefixes are lengthened, give what the others give."""
     from paylume.llm import repeats
 
     rows = [(i, words(8) + " " + SHARED + " " + words(8)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (3, 1000):
-        kind = repeats.Kind(13, 4, True, True, hot)
-        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in repeats.find(df, kind, substring_dedup.trees(kind), lambda c: c.repartition("h")).collect()}
-        assert got[0][0] == 0 and all(got[i][0] >= 60 for i in range(1, 30))
-        want = got if hot == 3 else want
-        assert got == want
+    for remove in (lambda: substring_dedup.remove_repeats(df), lambda: suffix_dedup.remove_repeats(df, 60)):
+        results = []
+        for group in (3, 1000):
+            monkeypatch.setattr(repeats, "GROUP", group)
+            results.append({r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in remove().collect()})
+        assert results[0] == results[1] and all(results[0][i][0] >= 60 for i in range(1, 30))
+
+
+def test_multikey_sort():
+    data = RNG.integers(0, 3, 4000).astype(np.uint8)
+    start = np.sort(RNG.integers(0, 3900, 500))
+    size = RNG.integers(0, 90, 500)
+    group = RNG.integers(0, 4, 500)
+    order, shared = suffix_dedup.multikey_sort(data, group, start, size)
+    text = [data[a : a + n].tobytes().ljust(100, b"\0") for a, n in zip(start, size, strict=True)]
+    rows = [(group[i], text[i]) for i in order]
+    assert rows == sorted(rows)
+    for k in range(1, 500):
+        (g, a), (h, b) = rows[k - 1], rows[k]
+        same = next((i for i in range(100) if a[i] != b[i]), 97)
+        assert min(shared[k], 97) == (-1 if g != h else min(same, 97))
 
 
 def sets_of(text, size=3):
