@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates of the same type and format, with DataFrame functions only.
 
-Detected are e-mail addresses, IPv4 addresses, telephone and social-security numbers, bank card numbers, long
-hexadecimal secrets, and names after a title. Each distinct value gets one surrogate for the whole corpus, so mentions
-of one entity stay the same and different entities stay different: letters become letters of the same case and digits
-digits, all derived from a keyed hash; addresses keep valid octets, card numbers keep whether their check digit holds,
-e-mail domains keep their last label. A name keeps its title and becomes a name of the title's gender and the value's
-script. Surrogates that meet another surrogate, or a value that stands in the corpus, are drawn again until none does.
+Detected are e-mail addresses, IPv4 addresses, telephone and social-security numbers, bank card numbers (groups of
+four, or 13 to 19 digits whose check digit holds), long hexadecimal secrets, and names after a title. A mention is
+reduced to its entities: an address in lower case, the digits of a number, the family name and the given name of a
+person. Each distinct entity gets one surrogate for the whole corpus, so that mentions of one entity stay the same,
+however they are written, and different entities stay different: letters become letters and digits digits, all derived
+from a keyed hash; addresses keep valid octets, card numbers keep whether their check digit holds, phone numbers their
+country code, e-mail domains their last label. A name keeps its title, gets a given name of the title's gender, and
+all in the value's script. Surrogates that meet another surrogate, or an entity that stands in the corpus, are drawn
+again until none does; names and addresses grow with each attempt, so that they never run out.
 
 Null texts stay null. Empty texts and texts without entities pass unchanged. Very long texts are handled whole. Repeated
-rows get equal replacements; rows are matched by id, so ids are taken as unique and rows without an id are matched by
-text. All columns of the input are kept, whatever their names. An empty table gives an empty result.
+rows get equal replacements; rows are matched by id and a hash of their text, so that ids may be null or repeated. All
+columns of the input are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,74 +106,121 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(reverse, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(kind: Column, value: Column, digest: Column) -> Column:
-    """A replacement of one value, from the keyed digest."""
+def digits_of(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def is_name(kind: Column) -> Column:
+    return kind.startswith("name_")
+
+
+def parts_of(kind: Column, value: Column) -> Column:
+    """The entities of a mention: structs of ``type`` and ``entity``."""
+    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    number = F.when(kind == "phone", F.concat(digits_of(country), F.lit(":"), digits_of(F.substr(value, F.length(country) + 1)))).otherwise(digits_of(value))
+    plain = F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "ssn", "card"), number).otherwise(value)
+    words = F.split(value, " ")
+    script, gender = F.split_part(kind, F.lit("_"), F.lit(2)), F.split_part(kind, F.lit("_"), F.lit(3))
+    pair = lambda t, e: F.struct(t.alias("type"), e.alias("entity"))
+    family = pair(F.concat(F.lit("family_"), script), F.element_at(words, -1))
+    given = pair(F.concat(F.lit("given_"), script, F.lit("_"), gender), F.element_at(words, -2))
+    return F.when(~is_name(kind), F.array(pair(kind, plain))).when(F.size(words) > 2, F.array(family, given)).otherwise(F.array(family))
+
+
+def _syllables(script: str, digest: Column, first: int, many: Column) -> Column:
+    picked = F.transform(F.sequence(F.lit(first), F.lit(first - 1) + many), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), F.pmod(_digit(digest, i), F.lit(len(SYLLABLES[script]))) + 1))
+    return F.initcap(F.array_join(picked, ""))
+
+
+def surrogate(kind: Column, value: Column, digest: Column, attempt: Column) -> Column:
+    """A replacement of one entity, from the keyed digest."""
     plain = same_format(value, digest)
     hexa = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.lower(F.conv(F.pmod(_digit(digest, i), F.lit(16)).cast("string"), 10, 16))).otherwise(c)), "")
     octets = F.concat_ws(".", *(F.lit(1) + F.pmod(_digit(digest, 2 * i) * 256 + _digit(digest, 2 * i + 1), F.lit(254)) for i in range(4)))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     name, last = F.regexp_replace(domain, r"\.[^.]*$", ""), F.substring_index(domain, ".", -1)
-    email = F.concat(same_format(local, digest), F.lit("@"), same_format(name, F.reverse(digest)), F.lit("."), last)
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    phone = F.concat(country, same_format(F.substr(value, F.length(country) + 1), digest))
-    body = F.regexp_replace(plain, "[0-9](?=[^0-9]*$)", "0")
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    valid = luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0
-    check = F.pmod(-luhn(digits), F.lit(10))
+    # short addresses soon run out, so that later attempts add letters
+    more = F.when(attempt > 2, same_format(F.repeat(F.lit("x"), attempt - 2), F.sha2(digest, 256))).otherwise(F.lit(""))
+    email = F.concat(same_format(local, digest), more, F.lit("@"), same_format(name, F.reverse(digest)), F.lit("."), last)
+    country = F.substring_index(value, ":", 1)
+    phone = F.concat(country, F.lit(":"), same_format(F.substring_index(value, ":", -1), digest))
+    body = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), F.lit("0"))
+    valid = luhn(value) % 10 == 0
+    check = F.pmod(-luhn(body), F.lit(10))
     check = F.when(valid, check).otherwise(F.pmod(check + 1 + F.pmod(_digit(digest, 30), F.lit(9)), F.lit(10)))
-    card = F.regexp_replace(body, F.lit("0(?=[^0-9]*$)"), check.cast("string"))
+    card = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), check.cast("string"))
     out = F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "phone", phone).when(kind == "card", card).when((kind == "secret") & value.rlike("^[0-9a-f]+$"), hexa)
+    for script in SYLLABLES:
+        out = out.when(kind == f"family_{script}", _syllables(script, digest, 3, attempt + 4))
     for script, gender in TITLES:
-        title = F.regexp_extract(value, f"^{_title(script, gender)}", 0)
-        rest = F.substr(value, F.length(title) + 2)
-        family = F.initcap(F.concat(*(_pick(SYLLABLES[script], digest, i) for i in range(3, 7))))
-        full = F.when(rest.contains(" "), F.concat_ws(" ", title, _pick(GIVEN[script, gender], digest, 1), family)).otherwise(F.concat_ws(" ", title, family))
-        out = out.when(kind == f"name_{script}_{gender}", full)
+        out = out.when(kind == f"given_{script}_{gender}", F.when(attempt == 0, _pick(GIVEN[script, gender], digest, 1)).otherwise(_syllables(script, digest, 9, attempt + 2)))
     return out.otherwise(plain)
 
 
-def surrogates(values: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """``kind, value, surrogate`` for distinct ``kind, value``, all surrogates distinct and none a value."""
-    made = values.withColumn("attempt", F.lit(0))
-    spent = written(values)
-    done, left = None, written(made)
+def surrogates(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """``type, entity, surrogate`` for distinct ``type, entity``: of one type all surrogates are distinct and none is
+    an entity. Each round draws for what is left and is written, so that a lost executor costs one round."""
+    done, left = [], written(values.withColumn("attempt", F.lit(0)))
+    spent = left.select("type", F.col("entity").alias("surrogate"))
     for _ in range(rounds):
-        digest = F.sha2(F.concat_ws("\0", F.lit(key), "kind", "value", F.col("attempt").cast("string")), 256)
-        drawn = written(left.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("digest"))).drop("digest"))
-        first = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("first"))
-        taken = spent.select(F.col("value").alias("surrogate"))
-        if done is not None:
-            taken = taken.unionByName(done.select("surrogate"))
-        fine = drawn.join(first, "surrogate").where((F.col("first.kind") == F.col("kind")) & (F.col("first.value") == F.col("value"))).join(taken.distinct(), "surrogate", "left_anti").select("kind", "value", "surrogate")
-        done = written(fine if done is None else done.unionByName(fine))
-        left = written(drawn.join(done, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
+        digest = F.sha2(F.concat_ws("\0", F.lit(key), "type", "entity", F.col("attempt").cast("string")), 256)
+        drawn = written(left.withColumn("digest", digest).withColumn("surrogate", surrogate(F.col("type"), F.col("entity"), F.col("digest"), F.col("attempt"))).drop("digest"))
+        first = drawn.groupBy("type", "surrogate").agg(F.min("entity").alias("first"))
+        taken = spent
+        for part in done:
+            taken = taken.unionByName(part.select("type", "surrogate"))
+        fine = drawn.join(first, ["type", "surrogate"]).where(F.col("first") == F.col("entity")).join(taken, ["type", "surrogate"], "left_anti").select("type", "entity", "surrogate")
+        done.append(written(fine))
+        left = written(drawn.join(done[-1], ["type", "entity"], "left_anti").select("type", "entity", (F.col("attempt") + 1).alias("attempt")))
         if left.isEmpty():
-            return done
-    raise ValueError("the formats hold too few values for distinct surrogates")
+            break
+    else:
+        raise ValueError("the formats hold too few values for distinct surrogates")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def rendered(kind: Column, value: Column, main: Column, given: Column) -> Column:
+    """The surrogate of a mention, written as the mention is. ``main``: of its family name, else of its one entity."""
+    chars = F.split(value, "")
+    digits = digits_of(main)
+    slots = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, F.length(digits_of(F.substr(value, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
+    cased = F.array_join(F.zip_with(chars, F.split(main, ""), lambda c, x: F.when(c.rlike("^[A-Z]$"), F.upper(x)).otherwise(x)), "")
+    title = F.split_part(value, F.lit(" "), F.lit(1))
+    return F.when(is_name(kind), F.concat_ws(" ", title, given, main)).when(kind == "email", cased).when(kind.isin("phone", "ssn", "card"), slots).otherwise(main)
 
 
 def replace(docs: DataFrame, key: str = "paylume") -> DataFrame:
     """The documents, all columns kept, with surrogates in ``text``."""
-    return _replaced(docs, key).select(docs.columns)
+    return _replaced(docs, key).select("doc.*")
 
 
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """With ``_pii``, the number of entities."""
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    row = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), F.sha2("text", 256)))
-    found = rows.where(has).select(row.alias("_row"), F.posexplode(entities(F.col("text"))).alias("pos", "value")).withColumn("kind", kind_of(F.col("value"))).distinct()
+    """``doc``, the document's columns, which no column of this operator can clash with, and ``n``, the number of
+    entities in it."""
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows = rows.select("doc", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("\0")).alias("id"), F.xxhash64("doc.text").alias("code"))
+    found = rows.select("id", "code", F.posexplode(entities(F.col("doc.text"))).alias("pos", "value")).distinct().withColumn("kind", kind_of(F.col("value")))
     found = written(found)
-    table = surrogates(found.select("kind", "value").distinct(), key)
-    lists = found.join(table, ["kind", "value"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("_new"))
-    hit = rows.where(has).withColumn("_row", row).join(lists, "_row")
-    new = F.concat(F.transform("_new", lambda x: x["surrogate"]), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
-    changed = hit.withColumn("text", text).withColumn("_pii", F.size("_new").cast("long")).select(*docs.columns, "_pii")
-    return rows.where(~has).select(*docs.columns, F.lit(0).cast("long").alias("_pii")).unionByName(changed)
+    mentions = found.select("kind", "value").distinct()
+    # a bare number whose check digit doesn't hold is none of a card
+    mentions = mentions.where(~((F.col("kind") == "card") & F.col("value").rlike("^[0-9]+$") & (luhn(digits_of(F.col("value"))) % 10 != 0)))
+    parts = written(mentions.select("kind", "value", F.explode(parts_of(F.col("kind"), F.col("value"))).alias("part")).select("kind", "value", "part.*"))
+    table = surrogates(parts.select("type", "entity").distinct(), key)
+    is_given = F.col("type").startswith("given_")
+    made = parts.join(table, ["type", "entity"]).groupBy("kind", "value").agg(F.max(F.when(~is_given, F.col("surrogate"))).alias("main"), F.max(F.when(is_given, F.col("surrogate"))).alias("given"))
+    made = made.select("kind", "value", rendered(F.col("kind"), F.col("value"), F.col("main"), F.col("given")).alias("surrogate"))
+    lists = found.join(made, ["kind", "value"], "left").groupBy("id", "code").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("surrogate", "value").alias("new"), F.col("surrogate").isNotNull().alias("is")))).alias("found"))
+    new = F.concat(F.transform("found", lambda x: x["new"]), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(F.split("doc.text", PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
+    n = F.size(F.filter(F.coalesce("found", F.array().cast("array<struct<pos:int,new:string,is:boolean>>")), lambda x: x["is"])).cast("long")
+    joined = rows.join(lists, ["id", "code"], "left").withColumn("n", n)
+    return joined.select(F.col("doc").withField("text", F.when(F.col("n") > 0, text).otherwise(F.col("doc.text"))).alias("doc"), "n")
 
 
 def op4_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` with surrogates in their texts."""
-    out = _replaced(spark.read.parquet(f"{sf_dir}/documents.parquet"), "paylume")
-    return out.select("doc_id", "text", F.col("_pii").alias("n_entities"))
+    out = _replaced(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "paylume")
+    return out.select("doc.doc_id", "doc.text", F.col("n").alias("n_entities"))
