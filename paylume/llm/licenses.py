@@ -41,6 +41,12 @@ TEMPLATES = {
     "MIT permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 SCHEMA = "doc_id long, found array<struct<template:string,dice:double,unit:string,first_byte:long,end_byte:long>>"
 _FOUND = pa.list_(pa.struct([("template", pa.string()), ("dice", pa.float64()), ("unit", pa.string()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
@@ -110,10 +116,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
                     found[owner[i]].append({"template": x[0], "dice": x[1], "unit": unit.decode(), "first_byte": int(first[i]) - low, "end_byte": int(first[i]) - low + len(unit)})
             many = np.searchsorted(breaks, texts.at[1:]) - np.searchsorted(breaks, texts.at[:-1])
             per_text = total[of[1:]] - total[of[:-1]]
-            for d in np.flatnonzero((many > 0) & (per_text > known.least_overlap)).tolist():
-                body = raw[texts.at[d] : texts.at[d + 1]]
-                for m in paragraph.finditer(body):
-                    if known.low <= len(m[0].split()) <= 4 * known.high and (x := known.best(m[0])) is not None:
+            for d in np.flatnonzero((many > 0) & (per_text > min(known.least_overlap, 1))).tolist():
+                low = int(texts.at[d])
+                for m in paragraph.finditer(raw[low : texts.at[d + 1]]):
+                    # repeated words make no bigrams, so the number of words bounds the set from above only
+                    i, j = np.searchsorted(starts, (low + m.start(), low + m.end()))
+                    if j - i > known.low and total[j] - total[i] > min(known.least_overlap, 1) and (x := known.best(m[0])) is not None:
                         found[d].append({"template": x[0], "dice": x[1], "unit": m[0].decode(), "first_byte": m.start(), "end_byte": m.end()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], names=["doc_id", "found"])
 
