@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textkit import ALNUM, LOWER, Texts, sub_batches
 
 #: Words of benchmark items in one automaton.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int,first_byte:int,end_byte:int>>"
 
 
@@ -46,7 +46,8 @@ class SuffixAutomaton:
             if 0 < len(ids) < window:
                 shorter.append((item, ids))
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
+            # states shorter than a window are never asked for their items
+            if self.link[state] > 0 and self.length[self.link[state]] >= window:
                 self.items[self.link[state]] |= self.items[state]
         self.shortest = min([window, *(len(ids) for _, ids in shorter)])
         for item, ids in shorter:
@@ -214,16 +215,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 def remove(docs: DataFrame, found: DataFrame, min_span: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """Documents without their contaminated spans. Spans of ``min_span`` words or more are cut out of the text; a
     document with a share of hit words over ``max_coverage`` is dropped whole. Others pass unchanged, all columns kept.
-    ``found`` comes from :func:`matches` on the same documents; document ids are unique."""
-    hits = found.where("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.struct("n_words", "n_hit", "spans").alias("_hit"))
-    raw = F.encode("text", "UTF-8")
-    spans = F.filter("_hit.spans", lambda s: s["end"] - s["start"] >= min_span)
+    ``found`` comes from :func:`matches` on the same documents; document ids are unique, and documents with a null id pass
+    unchanged."""
+    hits = found.where("n_hit > 0").select("doc_id", F.struct("n_words", "n_hit", "spans").alias("hit"))
+    # the document's columns stand in one column, so that none of them can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    raw = F.encode("doc.text", "UTF-8")
+    spans = F.filter("hit.spans", lambda s: s["end"] - s["start"] >= min_span)
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end_byte"]))
-    ends = F.concat(F.transform(spans, lambda s: s["first_byte"]), F.array(F.octet_length("text")))
+    ends = F.concat(F.transform(spans, lambda s: s["first_byte"]), F.array(F.octet_length("doc.text")))
     kept = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8"))
-    joined = docs.join(hits, F.col("doc_id") == F.col("_hit_id"), "left").where(F.col("_hit").isNull() | (F.col("_hit.n_hit") <= max_coverage * F.col("_hit.n_words")))
-    text = F.when(F.col("_hit").isNull() | (F.size(spans) == 0), F.col("text")).otherwise(F.array_join(kept, " "))
-    return joined.withColumn("text", text).select(docs.columns)
+    joined = rows.join(hits, "doc_id", "left").where(F.col("hit").isNull() | (F.col("hit.n_hit") <= max_coverage * F.col("hit.n_words")))
+    text = F.when(F.col("hit").isNull() | (F.size(spans) == 0), F.col("doc.text")).otherwise(F.array_join(kept, " "))
+    return joined.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
