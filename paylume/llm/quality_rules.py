@@ -4,13 +4,13 @@ Base statistics of a text's white-space words feed fixed rules. Texts that pass
 and source: their transformed statistic vectors have a minimum-covariance-determinant estimate of centre and scatter,
 and a text is rejected when its squared Mahalanobis distance is over the chi-square quantile of the vector's dimension
 that all judged texts of a normal corpus stay under with a chance of 99 percent (33.2 for 9154 texts, 48.7 for 15
-million). The estimate takes deterministic
-starts (coordinate quantile cores of several widths) and concentration steps: each step keeps the ``support`` share of
+million). The estimate takes deterministic starts (coordinate quantile cores of several widths) and concentration steps: each step keeps the ``support`` share of
 a group with the least distances and re-estimates from it, which never raises the determinant; the start that ends with
 the least determinant wins. The subset is cut by counting distances in fine logarithmic classes, so that every step is
 one aggregation with map-side combine, and no group is ever sorted or gathered. Scatter is kept regular by a small
 share of the pooled variances, and scaled to be consistent for a normal core. Groups of fewer than ``least_group``
-texts take the estimate of their language, and languages of fewer that of all texts.
+texts take the estimate of their language, and languages of fewer that of all texts; the three levels are estimated in
+the same passes, until no determinant moves.
 
 Null texts count as empty: no words, so the base rules fail. Null languages or sources form groups of their own.
 Repeated rows are judged alike. Very long texts are handled whole. An empty table gives an empty result. Columns of the
@@ -32,7 +32,8 @@ VECTOR = ["v1", "v2", "v3", "v4"]
 #: Half of the texts decide the shape; the chi-square scale makes it consistent for four normal statistics:
 #: median of chi-square with 4 degrees of freedom 3.3567, share of a 6-degree one below it 0.2337, 0.5 / 0.2337.
 SUPPORT, CONSISTENCY = 0.5, 2.14
-STEPS = 6
+#: Concentration steps end when no log determinant moves by more than this, or after so many.
+SETTLED, STEPS = 1e-4, 30
 #: Chance that any text of a normal corpus is rejected.
 FALSE_CHANCE = 0.01
 #: Distance classes per doubling.
@@ -120,14 +121,26 @@ def distance() -> Column:
     return sum((y * y for y in solved), F.lit(0.0))
 
 
-def estimates(rows: DataFrame, keys: list[str], ridge: dict[str, float], least_group: int) -> DataFrame:
-    """The estimate of each group of at least ``least_group`` rows. ``rows``: the keys and vectors."""
+GROUP = ["level", "lang", "source"]
+
+
+def same(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in GROUP]
+
+
+def leveled(rows: DataFrame) -> DataFrame:
+    """Each row as one of its language and source (level 0), of its language (1) and of all texts (2)."""
+    groups = F.array(*(F.struct(F.lit(i).alias("level"), *((F.col(c) if keep else F.lit(None).cast("string")).alias(c) for c, keep in zip(GROUP[1:], kept, strict=True))) for i, kept in enumerate(((True, True), (True, False), (False, False)))))
+    return rows.select(F.explode(groups).alias("g"), *VECTOR).select("g.*", *VECTOR)
+
+
+def estimates(rows: DataFrame, ridge: dict[str, float], least_group: int) -> DataFrame:
+    """The estimate of each group of at least ``least_group`` rows, and of all rows. ``rows``: from ``leveled``."""
     from pyspark.sql import Window
 
     share = [p for s in STARTS for p in (0.5 - s, 0.5 + s)]
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("size"), *(F.percentile_approx(v, share, 1000).alias(f"q_{v}") for v in VECTOR)).where(F.col("size") >= least_group)
-    same = lambda a, b: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    tagged = rows.alias("a").join(cuts.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in keys), *VECTOR, *(f"q_{v}" for v in VECTOR))
+    cuts = rows.groupBy(*GROUP).agg(F.count("*").alias("size"), *(F.percentile_approx(v, share, 1000).alias(f"q_{v}") for v in VECTOR)).where((F.col("size") >= least_group) | (F.col("level") == 2))
+    tagged = rows.alias("a").join(cuts.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}").alias(k) for k in GROUP), *VECTOR, *(f"q_{v}" for v in VECTOR))
     fits = None
     for i in range(len(STARTS)):
         inside = None
@@ -135,25 +148,26 @@ def estimates(rows: DataFrame, keys: list[str], ridge: dict[str, float], least_g
             near = F.col(v).between(F.get(F.col(f"q_{v}"), F.lit(2 * i)), F.get(F.col(f"q_{v}"), F.lit(2 * i + 1)))
             inside = near if inside is None else inside & near
         # a group with an empty core has one start less; without any it takes the estimate of its language
-        part = tagged.where(inside).withColumn("start", F.lit(i)).select("start", *keys, *VECTOR)
+        part = tagged.where(inside).withColumn("start", F.lit(i)).select("start", *GROUP, *VECTOR)
         fits = part if fits is None else fits.unionByName(part)
-    now = written(shape(moments(fits, ["start", *keys]), ["start", *keys], ridge, 1.0))
-    sizes = cuts.select(*keys, "size")
+    now = written(shape(moments(fits, ["start", *GROUP]), ["start", *GROUP], ridge, 1.0))
     for _ in range(STEPS):
-        far = rows.alias("a").join(now.alias("b"), same("a", "b")).select("b.start", *(F.col(f"a.{k}").alias(k) for k in keys), *VECTOR, F.floor(F.log2(distance() + 1e-9) * CLASSES).cast("int").alias("class"))
-        counted = moments(far, ["start", *keys, "class"])
-        order = Window.partitionBy("start", *keys).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy("start", *keys)
+        far = rows.alias("a").join(now.alias("b"), same("a", "b")).select("b.start", *(F.col(f"a.{k}").alias(k) for k in GROUP), *VECTOR, F.floor(F.log2(distance() + 1e-9) * CLASSES).cast("int").alias("class"))
+        counted = moments(far, ["start", *GROUP, "class"])
+        order = Window.partitionBy("start", *GROUP).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy("start", *GROUP)
         core = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0.0))).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < F.ceil(SUPPORT * F.col("all")))
         # the last class is taken in part, so that the core has its exact size
         part = F.least(F.lit(1.0), (F.ceil(SUPPORT * F.col("all")) - F.col("before")) / F.col("n"))
         names = ["n", *(f"s_{v}" for v in VECTOR), *(f"s_{a}_{b}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1])]
-        sums = core.groupBy("start", *keys).agg(*(F.sum(F.col(c) * part).alias(c) for c in names))
-        now = written(shape(sums, ["start", *keys], ridge, 1.0))
-    best = now.groupBy(*keys).agg(F.min(F.struct("log_det", "start")).alias("best"))
+        sums = core.groupBy("start", *GROUP).agg(*(F.sum(F.col(c) * part).alias(c) for c in names))
+        before, now = now, written(shape(sums, ["start", *GROUP], ridge, 1.0))
+        moved = now.alias("a").join(before.alias("b"), [*same("a", "b"), F.col("a.start") == F.col("b.start")]).agg(F.max(F.abs(F.col("a.log_det") - F.col("b.log_det")))).first()[0]
+        if (moved or 0.0) <= SETTLED:
+            break
+    best = now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start")).alias("best"))
     chosen = now.alias("a").join(best.alias("b"), [*same("a", "b"), F.col("a.start") == F.col("b.best.start")]).select("a.*").drop("start")
-    scaled = {f"l_{a}_{b}": F.col(f"l_{a}_{b}") * CONSISTENCY**0.5 for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]}
-    return chosen.withColumns(scaled).alias("a").join(sizes.alias("b"), same("a", "b")).select("a.*", "b.size")
+    return chosen.withColumns({f"l_{a}_{b}": F.col(f"l_{a}_{b}") * CONSISTENCY**0.5 for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]})
 
 
 def chi_square_limit(tail: float, dimension: int = len(VECTOR)) -> float:
@@ -175,12 +189,13 @@ def judge(docs: DataFrame, limit: float | None = None, least_group: int = 50) ->
     if limit is None:
         limit = chi_square_limit(FALSE_CHANCE / max(spread["texts"], 1))
     ridge = {v: 0.02 * spread[v] + 1e-4 for v in VECTOR}
-    levels = [estimates(fit.withColumn("everything", F.lit(1)) if keys == ["everything"] else fit, keys, ridge, 1 if keys == ["everything"] else least_group) for keys in (["lang", "source"], ["lang"], ["everything"])]
     fields = ["log_det", *(f"m_{v}" for v in VECTOR), *(f"l_{a}_{b}" for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1])]
-    groups = stats.select("lang", "source").distinct()
-    packed = [e.select(*(F.col(k).alias(f"k{i}_{k}") for k in keys), F.struct(*fields).alias(f"e{i}")) for i, (e, keys) in enumerate(zip(levels, (["lang", "source"], ["lang"], ["everything"]), strict=True))]
-    table = groups.join(packed[0], F.col("lang").eqNullSafe(F.col("k0_lang")) & F.col("source").eqNullSafe(F.col("k0_source")), "left")
-    table = table.join(packed[1], F.col("lang").eqNullSafe(F.col("k1_lang")), "left").join(packed[2], F.lit(1) == F.col("k2_everything"), "left")
+    found = written(estimates(leveled(fit), ridge, least_group).select(*GROUP, F.struct(*fields).alias("e")))
+    of = lambda level: found.where(F.col("level") == level)
+    table = stats.select("lang", "source").distinct()
+    table = table.join(of(0).select(F.col("lang").alias("l0"), F.col("source").alias("s0"), F.col("e").alias("e0")), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
+    table = table.join(of(1).select(F.col("lang").alias("l1"), F.col("e").alias("e1")), F.col("lang").eqNullSafe(F.col("l1")), "left")
+    table = table.join(F.broadcast(of(2).select(F.col("e").alias("e2"))), how="left")  # one row
     table = table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.coalesce("e0", "e1", "e2").alias("e"))
     joined = stats.join(table, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").select(*stats.columns, "e.*")
     far = joined.withColumn("distance", F.when(~F.col("base_failed"), distance()))
