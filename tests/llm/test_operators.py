@@ -253,6 +253,28 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and all(not r["found"] for r in licenses.scan(docs).collect())
 
 
+def test_long_paragraphs_of_a_licence(spark):
+    """Repeated lines make few bigrams, whatever the paragraph's length; the same as in SQL."""
+    import duckdb
+
+    rows = [(i, "\n".join(["Released under the MIT License."] * n) + "\n" + licenses.TEMPLATES["zlib"]) for i, n in enumerate((1, 2, 50, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = dict(con.execute(f"SELECT doc_id, n_notices FROM ({licenses.OP3_SQL})").fetchall())
+    assert {r["doc_id"]: len(r["found"]) for r in licenses.scan(df).collect()} == want
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, SHARED + " rest of it", "a", 2, None), (None, SHARED, "b", 3, "c"), (2, "clean", "d", 4, "e")], "doc_id int, text string, _hit string, _hit_id int, doc string")
+    items = spark.createDataFrame([("x", " ".join(SHARED.split()[:20]))], "item_id string, text string")
+    left = decontaminate.remove(df, decontaminate.matches(df, items))
+    assert left.columns == df.columns
+    got = {r["doc_id"]: r for r in left.collect()}
+    assert got[1]["text"].split()[0] == SHARED.split()[20] and (got[1]["_hit"], got[1]["_hit_id"]) == ("a", 2) and got[None]["text"] == SHARED and got[2]["text"] == "clean"
+
+
 def test_surrogates(spark, docs, none):
     texts = ["to a.b@mail.example.com or 10.20.30.40.", "A.B again: a.b@mail.example.com", "+1 (663) 555-6869 and 4111111111111111", "Mr. John Smith met Frau Müller and г-н Иванов", None, "", "nothing here", "x@y.com x@y.com"]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, value string")
@@ -270,12 +292,39 @@ def test_surrogates(spark, docs, none):
     assert pii.replace(none).count() == 0 and pii.replace(docs).count() == len(TEXTS)
 
 
+def test_surrogates_of_one_entity(spark):
+    """Ways to write one entity get one surrogate; columns of any name stay."""
+    texts = ["Mr. John Smith, Mr Smith, Mrs. Smith", "Ann.B@x.example.org ann.b@x.example.org ANN.B@X.EXAMPLE.ORG", "4111 1111 1111 1111 or 4111111111111111", "+1 (663) 555-6869, +1 663-555-6869", "order 20231115093042"]
+    df = spark.createDataFrame([(i % 2, t, "a", 5, None, "b", 1) for i, t in enumerate(texts)], "doc_id int, text string, _row string, _new int, _pii string, found string, n int")
+    out = pii.replace(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert all((r["_row"], r["_new"], r["_pii"], r["found"], r["n"]) == ("a", 5, None, "b", 1) for r in rows)
+    got = [r["text"] for r in sorted(rows, key=lambda r: [x[:5] for x in texts].index(next(x[:5] for x in texts if x[:2] == r["text"][:2] or "@" in r["text"] and "@" in x or r["text"][0].isdigit() and x[0].isdigit())))]
+    m = re.fullmatch(r"Mr\. (\S+) (\S+), Mr (\S+), Mrs\. (\S+)", got[0])
+    assert m[2] == m[3] == m[4] != "Smith" and m[1] != "John"
+    mails = got[1].split()
+    assert len({x.lower() for x in mails}) == 1 and mails[0] != mails[1] and mails[2].isupper() and "ann.b" not in mails
+    a, b = got[2].split(" or ")
+    assert a.replace(" ", "") == b != "4111111111111111" and a[4] == a[9] == " "
+    a, b = got[3].split(", ")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a.startswith("+1 (") and "663" not in a[:8]
+    assert got[4] == texts[4]
+
+
+def test_names_never_run_out(spark):
+    letters = "абвгдежзиклмнопрст"
+    texts = [f"г-н А{letters[i % 18]}{letters[i // 18 % 18]}{letters[i // 324]}ов" for i in range(5000)]
+    made = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(set(made)) == 5000 and not set(made) & set(texts)
+
+
 def test_surrogates_stay_distinct(spark):
     """More short numbers than first draws keep apart."""
-    values = spark.range(400).selectExpr("'phone' AS kind", "lpad(CAST(id AS STRING), 3, '0') AS value").where("CAST(value AS INT) < 400")
-    got = pii.surrogates(values, "k", 60).collect()
+    values = spark.range(400).selectExpr("'ssn' AS type", "lpad(CAST(id AS STRING), 3, '0') AS entity")
+    got = pii.surrogates(values, "k").collect()
     made = [r["surrogate"] for r in got]
-    assert len(set(made)) == len(made) == 400 and not set(made) & {r["value"] for r in got}
+    assert len(set(made)) == len(made) == 400 and not set(made) & {r["entity"] for r in got}
 
 
 def test_nearest_examples_are_exact(spark):
