@@ -59,29 +59,63 @@ def with_pvalue(df: DataFrame, column: str, dof: int) -> DataFrame:
     return df.withColumn("p_value", tail(F.coalesce(F.col(column), F.lit(NAN))))
 
 
+def agreement(data: bytes, a: int, b: int) -> int:
+    """How many bytes from ``a`` equal those from ``b`` > ``a``, up to the end."""
+    n, step = 0, 1
+    while step:
+        if b + n + step <= len(data) and data[a + n : a + n + step] == data[b + n : b + n + step]:
+            n, step = n + step, 2 * step
+        else:
+            step //= 2
+    return n
+
+
 def phrase_count(data: bytes) -> int:
-    """Phrases of the 1976 parsing: a phrase grows while it stands in what precedes its last byte."""
-    start, n, phrases = 0, len(data), 0
-    while start < n:
-        end = start + 1
-        while end <= n and data.find(data[start:end], 0, end - 1) >= 0:
-            end += 1
+    """Phrases of the 1976 parsing: each is the shortest string from its start that doesn't stand earlier, where the
+    earlier one may overlap it but for the last byte. Every candidate place is extended as far as it agrees, and the
+    search goes on from there for longer strings only, so a phrase takes one pass over what is before it."""
+    start = phrases = 0
+    while start < len(data):
         phrases += 1
-        start = end
+        longest, at = 0, data.find(data[start : start + 1], 0, start)
+        while at >= 0:
+            longest += agreement(data, at + longest, start + longest)
+            if start + longest >= len(data):
+                break
+            at = data.find(data[start : start + longest + 1], at + 1, start + longest)
+        start += longest + 1
     return phrases
 
 
 def spectrum(data: np.ndarray) -> list[float]:
     """Shares of eight index bands of the power spectrum without its mean, place of the peak, entropy of the bands."""
-    if len(data) < 8:
+    power = np.square(np.abs(np.fft.rfft(data.astype(float))))[1:] if len(data) >= 8 else np.zeros(0)
+    below = np.concatenate([[0.0], np.cumsum(power)])
+    if below[-1] < 1e-12:
         return [NAN] * (BANDS + 2)
-    power = np.abs(np.fft.rfft(data.astype(float))[1:]) ** 2
-    m, total = len(power), power.sum()
-    if total < 1e-12:
-        return [NAN] * (BANDS + 2)
-    bands = np.array([power[i * m // BANDS : (i + 1) * m // BANDS].sum() for i in range(BANDS)]) / total
-    seen = bands[bands > 0]
-    return [*bands.tolist(), float(power.argmax()) / m, float(-(seen * np.log2(seen)).sum())]
+    share = np.diff(below[np.arange(BANDS + 1) * len(power) // BANDS]) / below[-1]
+    entropy = -np.sum(share * np.log2(share, out=np.zeros(BANDS), where=share > 0))
+    return [*share.tolist(), int(np.argmax(power)) / len(power), float(entropy)]
+
+
+def lag_correlations(data: np.ndarray, lags: list[int]) -> list[float]:
+    """Mean product of centred bytes ``k`` apart over their population variance, within [-1, 1]; NaN from lag n on; 1
+    for a constant payload."""
+    x = data - data.mean() if len(data) else data.astype(float)
+    var = float(x @ x) / max(len(x), 1)
+    return [NAN if k >= len(x) else 1.0 if var < 1e-12 else float(np.clip(x[:-k] @ x[k:] / (len(x) - k) / var, -1, 1)) for k in lags]
+
+
+def runs_test(data: np.ndarray) -> list[float]:
+    """Runs above the median and their z score."""
+    n = len(data)
+    if n < 2:
+        return [NAN, NAN]
+    above = data > np.median(data)
+    runs, n1 = 1 + int(np.count_nonzero(above[1:] != above[:-1])), float(np.count_nonzero(above))
+    cross = 2 * n1 * (n - n1)
+    square = cross * (cross - n) / (n * n * (n - 1))
+    return [float(runs), (runs - cross / n - 1) / math.sqrt(square) if square > 0 else NAN]
 
 
 def _entropy(counts: np.ndarray, n: int) -> float:
@@ -110,16 +144,7 @@ def family(name: str, data: np.ndarray) -> list[float]:
             out += [_entropy(counts, m), float(k), float(counts.max() / m), float((counts**2).sum() * k / m - m) if k > 1 else 0.0, 1 - k / 256.0**g]
         return out
     if name == "autocorrelation":
-        x = data.astype(float) - (data.mean() if n else 0)
-        var = float((x * x).mean()) if n else 0.0
-        acf = [NAN if k >= n else 1.0 if var < 1e-12 else float(np.clip((x[:-k] * x[k:]).mean() / var, -1, 1)) for k in range(1, 17)]
-        if n < 2:
-            return [*acf, NAN, NAN]
-        above = data > np.median(data)
-        runs, n1 = 1 + int((above[1:] != above[:-1]).sum()), float(above.sum())
-        cross = 2 * n1 * (n - n1)
-        square = cross * (cross - n) / (n * n * (n - 1))
-        return [*acf, float(runs), (runs - cross / n - 1) / math.sqrt(square) if square > 0 else NAN]
+        return [*lag_correlations(data, list(range(1, 17))), *runs_test(data)]
     raw = data.tobytes()
     if name == "complexity":
         if not n:
@@ -170,16 +195,17 @@ def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame
 
 
 def profile(df: DataFrame, parts: list[str]) -> DataFrame:
-    """Single Arrow statistics by id: complexity (phrases), compression, frequency."""
-    names = {"complexity": NAMES["complexity"][:2], "compression": NAMES["complexity"][2:], "frequency": NAMES["frequency"]}
+    """Single Arrow statistics by id: complexity (phrases), compression, frequency, autocorrelation, runs."""
+    names = {"complexity": NAMES["complexity"][:2], "compression": NAMES["complexity"][2:], "frequency": NAMES["frequency"], "autocorrelation": NAMES["autocorrelation"][:16], "runs": NAMES["autocorrelation"][16:]}
     columns = [n for p in parts for n in names[p]]
 
     def values(data: bytes) -> list[float]:
         out: list[float] = []
         n = len(data)
         for p in parts:
-            if p == "frequency":
-                out += spectrum(np.frombuffer(data, np.uint8))
+            if p in ("frequency", "autocorrelation", "runs"):
+                x = np.frombuffer(data, np.uint8)
+                out += spectrum(x) if p == "frequency" else runs_test(x) if p == "runs" else lag_correlations(x, list(range(1, 17)))
             elif not n:
                 out += [0.0, NAN] if p == "complexity" else [NAN, NAN]
             elif p == "complexity":

@@ -15,7 +15,7 @@ def latin(payload: Column | str) -> Column:
 
 
 def byte_array(payload: Column | str) -> Column:
-    return F.when(F.octet_length(payload) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(latin(payload), ""), F.ascii))
+    return F.when(F.coalesce(F.octet_length(payload), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(latin(payload), ""), F.ascii))
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
@@ -82,10 +82,15 @@ def lag_sums(df: DataFrame, lags: list[int], *keep: str) -> DataFrame:
     once = bytes_.select("id", *keep, F.explode(F.array("a")).alias("a"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     columns = [F.size("a").cast("long").alias("n"), total(F.col("a")).alias("s"), total(F.transform("a", lambda x: (x * x).cast("long"))).alias("ss")]
+    n = F.size("a")
+    once = once.select("id", *keep, "a", *columns)
+    out = [F.col("n"), F.col("s"), F.col("ss")]
     for k in lags:
-        head, tail = F.slice("a", F.lit(1), F.greatest(F.size("a") - k, F.lit(0))), F.slice("a", F.lit(k + 1), F.greatest(F.size("a") - k, F.lit(0)))
-        columns += [total(F.zip_with(head, tail, lambda x, y: (x * y).cast("long"))).alias(f"p_{k}"), total(head).alias(f"h_{k}"), total(tail).alias(f"t_{k}")]
-    return once.select("id", *keep, *columns)
+        few = F.least(F.lit(k), n)
+        head, tail = F.slice("a", F.lit(1), F.greatest(n - k, F.lit(0))), F.slice("a", F.lit(k + 1), F.greatest(n - k, F.lit(0)))
+        # the sums of head and tail are the whole sum less the last or first k bytes
+        out += [total(F.zip_with(head, tail, lambda x, y: (x * y).cast("long"))).alias(f"p_{k}"), (F.col("s") - total(F.slice("a", n - few + 1, few))).alias(f"h_{k}"), (F.col("s") - total(F.slice("a", F.lit(1), few))).alias(f"t_{k}")]
+    return once.select("id", *keep, *out)
 
 
 def autocorrelation(df: DataFrame, lags: list[int]) -> DataFrame:

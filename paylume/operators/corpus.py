@@ -34,9 +34,18 @@ def encrypted(rows: DataFrame) -> DataFrame:
 
 
 def xor_repeating(raw: Column, key: Column) -> Column:
-    """XOR with a repeating 4-byte key of 25 low bits (little-endian); as hexadecimal text; its own inverse."""
-    k = payload.byte_array(key)
-    return F.array_join(F.transform(payload.byte_array(raw), lambda x, i: F.lpad(F.hex(x.bitwiseXOR(F.when(i % 4 == 3, F.get(k, F.lit(3)).bitwiseAND(F.lit(1))).otherwise(F.get(k, i % 4)))), 2, "0")), "")
+    """XOR with a repeating 4-byte key of 25 low bits (little-endian), four bytes at a time; as hexadecimal text; its
+    own inverse. Both should be columns of a table, since an expression would be worked out for every four bytes."""
+    number = lambda c: F.conv(F.rpad(F.hex(c), 8, "0"), 16, 10).cast("long")
+    word = number(key.substr(1, 4)).bitwiseAND(F.lit(0xFFFFFF01))
+    n = F.octet_length(raw)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((n + 3) / 4).cast("int")), lambda i: F.lpad(F.hex(number(raw.substr(i * 4 + 1, F.lit(4))).bitwiseXOR(word)), 8, "0"))
+    return F.substring(F.array_join(pieces, ""), F.lit(1), n * 2)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a generated array of one, so that lambdas over them don't work them out again."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")).select(*df.columns, "_once.*")
 
 
 def manifest(rows: DataFrame) -> DataFrame:
@@ -171,35 +180,48 @@ def grid(spark, sf_dir: str) -> DataFrame:
     return sample_grid(spark, sf_dir)
 
 
-TRIES = 8
+#: Tries for a chunk, and how many of them all rows make; only rows without a fitting chunk go on to the others.
+TRIES, FIRST_TRIES = 2000, 8
 
 
-def chunks(grid_rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """A text chunk of exactly ``size`` bytes that is valid UTF-8 for each row: of hash-picked documents and offsets
-    the first that neither starts nor ends inside a character, else a repeated ASCII sentence; size 0 is empty."""
-    ranked = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("raw"))
+def _tried(grid_rows: DataFrame, ranked: DataFrame, low: int, high: int) -> DataFrame:
+    """The first fitting chunk of each row among the tries from ``low`` to below ``high``."""
     last = ranked.agg(F.max("doc_id").alias("last"))
-    tries = grid_rows.crossJoin(last).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    tries = grid_rows.crossJoin(last).withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
     tries = tries.withColumn("doc_id", F.pmod(hash_int("doc", F.col("nonce"), F.col("t")), F.col("last") + 1))
     found = tries.join(ranked, "doc_id").where(F.octet_length("raw") >= F.col("size"))
     found = found.withColumn("at", F.pmod(hash_int("at", F.col("nonce"), F.col("t")), F.octet_length("raw") - F.col("size") + 1).cast("int"))
     inner = lambda at: F.hex(F.col("raw").substr(at + 1, F.lit(1))).rlike("^[89AB]")
     fine = found.where(~inner(F.col("at")) & ~inner(F.col("at") + F.col("size")))
-    first = fine.groupBy("nonce").agg(F.min(F.struct("t", F.col("raw").substr(F.col("at") + 1, F.col("size")).alias("chunk"))).alias("best"))
+    return fine.groupBy("nonce").agg(F.min(F.struct("t", F.col("raw").substr(F.col("at") + 1, F.col("size")).alias("chunk"))).alias("best"))
+
+
+def chunks(grid_rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """A text chunk of exactly ``size`` bytes that is valid UTF-8 for each row: of 2000 hash-picked documents and
+    offsets the first that neither starts nor ends inside a character, else a repeated ASCII sentence; size 0 is
+    empty."""
+    ranked = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.encode("text", "UTF-8").alias("raw"))
+    first = _tried(grid_rows, ranked, 0, FIRST_TRIES)
+    rest = _tried(grid_rows.join(first, "nonce", "left_anti"), ranked, FIRST_TRIES, TRIES)
     filler = F.expr(f"substring(repeat('{SENTENCE}', CAST(size / {len(SENTENCE)} AS INT) + 1), 1, size)")
     source = F.when(F.col("size") == 0, "empty").when(F.col("best").isNull(), "fallback").otherwise("corpus")
-    return grid_rows.join(first, "nonce", "left").select("nonce", "key_id", "size", "i", F.coalesce(F.decode("best.chunk", "UTF-8"), filler).alias("text"), source.alias("plaintext_source"))
+    return grid_rows.join(first.unionByName(rest), "nonce", "left").select("nonce", "key_id", "size", "i", F.coalesce(F.decode("best.chunk", "UTF-8"), filler).alias("text"), source.alias("plaintext_source"))
+
+
+def _tries_sql(name: str, rows: str, low: int, high: int) -> str:
+    return (
+        f"t{name} AS (SELECT nonce, size, t, {sql_hash(chr(39) + 'doc' + chr(39), 'nonce', 't')} % ((SELECT max(doc_id) FROM documents) + 1) AS doc_id FROM {rows}, (SELECT unnest(range({low}, {high})) AS t)), "
+        f"f{name} AS (SELECT nonce, size, t, hx, n, {sql_hash(chr(39) + 'at' + chr(39), 'nonce', 't')} % (n - size + 1) AS place FROM t{name} JOIN d USING (doc_id) WHERE n >= size), "
+        f"{name} AS MATERIALIZED (SELECT nonce, first(c ORDER BY t) AS c FROM (SELECT nonce, t, substr(hx, CAST(2 * place + 1 AS BIGINT), CAST(2 * size AS BIGINT)) AS c FROM f{name} WHERE substr(hx, CAST(2 * place + 1 AS BIGINT), 1) NOT IN ('8', '9', 'A', 'B') AND (place + size = n OR substr(hx, CAST(2 * (place + size) + 1 AS BIGINT), 1) NOT IN ('8', '9', 'A', 'B'))) GROUP BY 1)"
+    )
 
 
 @query(
     "g3_chunk_sampling",
     f"WITH {GRID}, d AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents), "
-    f"t AS (SELECT nonce, size, t, {sql_hash(chr(39) + 'doc' + chr(39), 'nonce', 't')} % ((SELECT max(doc_id) FROM documents) + 1) AS doc_id FROM grid, (SELECT unnest(range(0, {TRIES})) AS t)), "
-    f"f AS (SELECT nonce, size, t, hx, n, {sql_hash(chr(39) + 'at' + chr(39), 'nonce', 't')} % (n - size + 1) AS place FROM t JOIN d USING (doc_id) WHERE n >= size), "
-    "g AS (SELECT nonce, t, substr(hx, CAST(2 * place + 1 AS BIGINT), CAST(2 * size AS BIGINT)) AS c FROM f WHERE substr(hx, CAST(2 * place + 1 AS BIGINT), 1) NOT IN ('8', '9', 'A', 'B') AND (place + size = n OR substr(hx, CAST(2 * (place + size) + 1 AS BIGINT), 1) NOT IN ('8', '9', 'A', 'B'))), "
-    "b AS (SELECT nonce, first(c ORDER BY t) AS c FROM g GROUP BY 1) "
-    f"SELECT grid.nonce, size, coalesce(md5(decode(unhex(c))), md5(substr(repeat('{SENTENCE}', CAST(size // {len(SENTENCE)} AS BIGINT) + 1), 1, size))) AS text_md5, CASE WHEN c IS NULL THEN 'fallback' ELSE 'corpus' END AS plaintext_source FROM grid LEFT JOIN b USING (nonce)",
-)
+    + _tries_sql("a", "grid", 0, FIRST_TRIES) + ", left_over AS (SELECT * FROM grid WHERE nonce NOT IN (SELECT nonce FROM a)), " + _tries_sql("b", "left_over", FIRST_TRIES, TRIES) + ", u AS (SELECT * FROM a UNION ALL SELECT * FROM b) "
+    f"SELECT grid.nonce, size, coalesce(md5(decode(unhex(c))), md5(substr(repeat('{SENTENCE}', CAST(size // {len(SENTENCE)} AS BIGINT) + 1), 1, size))) AS text_md5, CASE WHEN c IS NULL THEN 'fallback' ELSE 'corpus' END AS plaintext_source FROM grid LEFT JOIN u USING (nonce)",
+)
 def chunk_sampling(spark, sf_dir: str) -> DataFrame:
     made = chunks(sample_grid(spark, sf_dir), table(spark, sf_dir, "documents"))
     return made.select("nonce", "size", F.md5("text").alias("text_md5"), "plaintext_source")
@@ -217,7 +239,8 @@ def repetitive(spark, sf_dir: str) -> DataFrame:
 
 def variants(rows: DataFrame) -> DataFrame:
     """Each row once under each variant, with the same key, nonce and text: block mode, repeating XOR, authenticated."""
-    raw, key = F.encode("text", "UTF-8"), key_bytes(F.col("key_id"))
+    rows = once(rows, _raw=F.encode("text", "UTF-8"), _key=key_bytes(F.col("key_id")))
+    raw, key = F.col("_raw"), F.col("_key")
     iv = F.unhex(F.substring(F.md5(F.concat_ws("|", F.lit("nonce"), "nonce")), 1, 24))
     made = F.array(
         F.struct(F.lit("block").alias("algorithm"), F.aes_encrypt(raw, key, F.lit("ECB"), F.lit("PKCS")).alias("ciphertext")),
@@ -240,14 +263,15 @@ def block_variant(spark, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.octet_length("ct").cast("long").alias("len_ct"), (F.aes_decrypt("ct", "key", F.lit("ECB"), F.lit("PKCS")) == F.col("raw")).alias("opens"))
 
 
-XOR_SQL = "list_transform(range(0, CAST(len_pt AS BIGINT)), lambda i: printf('%02X', xor(CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS INTEGER), CASE WHEN i % 4 = 3 THEN CAST('0x' || substr(md5('42|' || key_id), 7, 2) AS INTEGER) & 1 ELSE CAST('0x' || substr(md5('42|' || key_id), 2 * (i % 4) + 1, 2) AS INTEGER) END)))"
+XOR_SQL = "printf('%02X', xor(CAST('0x' || substr(hx, 2 * i + 1, 2) AS INTEGER), CASE WHEN i % 4 = 3 THEN CAST('0x' || substr(k, 7, 2) AS INTEGER) & 1 ELSE CAST('0x' || substr(k, 2 * (i % 4) + 1, 2) AS INTEGER) END))"
 
 
-@query("g7_xor_variant", f"WITH {SAMPLES} SELECT doc_id, md5(array_to_string({XOR_SQL}, '')) AS hexed_md5, true AS opens FROM s WHERE len_pt <= 2000")
+@query("g7_xor_variant", f"WITH {SAMPLES}, b AS (SELECT doc_id, md5('42|' || key_id) AS k, hex(encode(text)) AS hx, unnest(range(0, CAST(len_pt AS BIGINT))) AS i FROM s), x AS (SELECT doc_id, md5(string_agg({XOR_SQL}, '' ORDER BY i)) AS m FROM b GROUP BY doc_id) SELECT s.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(m, md5('')) END AS hexed_md5, CASE WHEN text IS NOT NULL THEN true END AS opens FROM s LEFT JOIN x ON s.doc_id = x.doc_id")
 def xor_variant(spark, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).where("len_pt <= 2000").withColumn("raw", F.encode("text", "UTF-8")).withColumn("key", key_bytes(F.col("key_id")))
-    made = rows.withColumn("ct", xor_repeating(F.col("raw"), F.col("key")))
-    return made.select("doc_id", F.md5("ct").alias("hexed_md5"), (F.unhex(xor_repeating(F.unhex("ct"), F.col("key"))) == F.col("raw")).alias("opens"))
+    rows = once(samples(spark, sf_dir).select("doc_id", "text", "key_id"), raw=F.encode("text", "UTF-8"), key=key_bytes(F.col("key_id"))).drop("text", "key_id")
+    made = once(rows, ct=xor_repeating(F.col("raw"), F.col("key")))
+    back = once(made, bytes=F.unhex("ct"))
+    return back.select("doc_id", F.md5("ct").alias("hexed_md5"), (F.unhex(xor_repeating(F.col("bytes"), F.col("key"))) == F.col("raw")).alias("opens"))
 
 
 @query("g8_authenticated_variant", f"WITH {SAMPLES} SELECT doc_id, len_pt + 28 AS len_ct, true AS opens, true AS wrong_key_fails, true AS wrong_aad_fails FROM s")

@@ -64,8 +64,8 @@ LAGS = list(range(1, 17))
     + " FROM p LEFT JOIN m USING (id) " + " ".join(f"LEFT JOIN l{k} ON l{k}.id = p.id" for k in LAGS),
 )
 def autocorrelation(spark, sf_dir: str) -> DataFrame:
-    found = payload.autocorrelation(payloads(spark, sf_dir), LAGS)
-    return found.select("id", *(NULLED(c).alias(c) for c in found.columns[1:]))
+    found = arrow_profile.profile(payloads(spark, sf_dir), ["autocorrelation"])
+    return found.select("id", *(NULLED(c).alias(f"acf_{k}") for k, c in zip(LAGS, found.columns[1:], strict=True)))
 
 
 @query(
@@ -75,7 +75,8 @@ def autocorrelation(spark, sf_dir: str) -> DataFrame:
     "z AS (SELECT *, 2 * n1 * (n - n1) AS c FROM a) SELECT p.id, CASE WHEN p.n < 2 THEN NULL ELSE CAST(runs AS DOUBLE) END AS runs_count, round(CASE WHEN p.n < 2 OR n1 = 0 OR n1 = p.n OR c * (c - p.n) <= 0 THEN NULL ELSE (runs - c / p.n - 1) / sqrt(c * (c - p.n) / (p.n * p.n * (p.n - 1.0))) END, 6) AS runs_z FROM p LEFT JOIN z USING (id)",
 )
 def runs(spark, sf_dir: str) -> DataFrame:
-    return payload.runs(payloads(spark, sf_dir)).select("id", NULLED("runs_count").alias("runs_count"), NULLED("runs_z").alias("runs_z"))
+    found = arrow_profile.profile(payloads(spark, sf_dir), ["runs"])
+    return found.select("id", NULLED("runs_count").alias("runs_count"), NULLED("runs_zscore").alias("runs_z"))
 
 
 @query("f8_phrase_complexity")

@@ -113,10 +113,11 @@ def impute(spark, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("sample_id", raw.alias("v")).na.fill(0.0)
 
 
-@query("p8_hex", f"WITH {SAMPLES} SELECT sample_id, hex(encode(text)) AS hexed, true AS same FROM s WHERE len_pt < 200")
+@query("p8_hex", f"WITH {SAMPLES} SELECT sample_id, md5(hex(encode(text))) AS hexed_md5, true AS same FROM s")
 def hexed(spark, sf_dir: str) -> DataFrame:
+    """Every text as hexadecimal digits (their md5, as texts may be long) and back."""
     raw = F.encode("text", "UTF-8")
-    return samples(spark, sf_dir).where("len_pt < 200").select("sample_id", F.hex(raw).alias("hexed"), (F.unhex(F.hex(raw)) == raw).alias("same"))
+    return samples(spark, sf_dir).select("sample_id", F.md5(F.hex(raw)).alias("hexed_md5"), (F.unhex(F.hex(raw)) == raw).alias("same"))
 
 
 @query("p9_formatted_id", f"WITH {SAMPLES} SELECT sample_id, replace(lower(algorithm), '-', '') || '_ref_k' || lpad(substr(key_id, 4), 4, '0') || '_n' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '_pt' || CASE WHEN len_pt > 9999 THEN CAST(len_pt AS VARCHAR) ELSE lpad(CAST(len_pt AS VARCHAR), 4, '0') END AS made FROM s")
@@ -129,11 +130,12 @@ def number_in_id(spark, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("sample_id", F.split_part("sample_id", F.lit("_"), F.lit(2)).cast("int").alias("number"))
 
 
-@query("p11_body_and_trailer", f"WITH {SAMPLES} SELECT sample_id, substr(hex(encode(text)), 1, 2 * (len_pt - 16)) AS body, substr(hex(encode(text)), 2 * (len_pt - 16) + 1) AS trailer FROM s WHERE len_pt BETWEEN 16 AND 1000")
+@query("p11_body_and_trailer", f"WITH {SAMPLES} SELECT sample_id, md5(substr(hx, 1, greatest(2 * (len_pt - 16), 0))) AS body_md5, substr(hx, greatest(2 * (len_pt - 16), 0) + 1) AS trailer FROM (SELECT *, hex(encode(text)) AS hx FROM s)")
 def body_and_trailer(spark, sf_dir: str) -> DataFrame:
-    df = samples(spark, sf_dir).where("len_pt BETWEEN 16 AND 1000").withColumn("raw", F.encode("text", "UTF-8"))
-    cut = F.octet_length("raw") - 16
-    return df.select("sample_id", F.hex(F.col("raw").substr(F.lit(1), cut)).alias("body"), F.hex(F.col("raw").substr(cut + 1, F.lit(16))).alias("trailer"))
+    """The last 16 bytes, and the md5 of what is before them; a shorter payload is all trailer."""
+    df = samples(spark, sf_dir).withColumn("raw", F.encode("text", "UTF-8"))
+    cut = F.greatest(F.octet_length("raw") - 16, F.lit(0))
+    return df.select("sample_id", F.md5(F.hex(F.col("raw").substr(F.lit(1), cut))).alias("body_md5"), F.hex(F.col("raw").substr(cut + 1, F.lit(16))).alias("trailer"))
 
 
 @query("p12_fixed_sequence", "WITH p AS (SELECT doc_id AS id, rpad(substr(hex(encode(text)), 1, 128), 128, '0') AS hx FROM documents) SELECT id, list_transform(range(0, 64), lambda i: CAST('0x' || substr(hx, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER)) AS sequence FROM p")
@@ -146,20 +148,24 @@ def fixed_grid(spark, sf_dir: str) -> DataFrame:
     return payloads(spark, sf_dir).select("id", payload.fixed_grid("payload", 8).alias("grid"))
 
 
-SOFT = "e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), x AS (SELECT vec_id, v, list_transform(v, lambda a: exp(a - list_max(v))) AS w FROM e)"
+SOFT = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM e), x AS (SELECT vec_id, list_transform(v, lambda a: exp(a - top)) AS w FROM m), y AS (SELECT vec_id, w, list_sum(w) AS total FROM x)"
 
 
-def softmax(scores: Column) -> Column:
-    """Of the scores; the largest is taken off first. One score s counts as [-s, s]."""
-    both = F.when(F.size(scores) == 1, F.array(-F.get(scores, F.lit(0)), F.get(scores, F.lit(0)))).otherwise(scores)
-    w = F.transform(both, lambda x: F.exp(x - F.array_max(both)))
-    return F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda s, y: s + y))
+def softmax(df: DataFrame, scores: str, name: str) -> DataFrame:
+    """Adds ``name``: the softmax of an array of scores, the largest taken off first. One score s counts as [-s, s].
+    A generated array of one keeps the largest and the sum from being worked out for every element."""
+    both = F.when(F.size(scores) == 1, F.array(-F.get(scores, F.lit(0)), F.get(scores, F.lit(0)))).otherwise(F.col(scores))
+    keep = [F.col(c) for c in df.columns if c != name]
+    led = df.select(*keep, F.explode(F.array(F.struct(both.alias("v"), F.array_max(both).alias("top")))).alias("_s"))
+    risen = led.select(*keep, F.explode(F.array(F.transform("_s.v", lambda x: F.exp(x - F.col("_s.top"))))).alias("_w"))
+    summed = risen.select(*keep, F.explode(F.array(F.struct(F.col("_w").alias("w"), F.aggregate("_w", F.lit(0.0), lambda s, x: s + x).alias("total")))).alias("_s"))
+    return summed.select(*keep, F.transform("_s.w", lambda x: x / F.col("_s.total")).alias(name))
 
 
-@query("p14_softmax", f"WITH {SOFT} SELECT vec_id, list_transform(w, lambda a: round(a / list_sum(w), 6)) AS proba FROM x")
+@query("p14_softmax", f"WITH {SOFT} SELECT vec_id, list_transform(w, lambda a: round(a / total, 6)) AS proba FROM y")
 def softmax_of_scores(spark, sf_dir: str) -> DataFrame:
-    scores = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
-    return scores.select("vec_id", F.transform(softmax(F.col("v")), lambda x: F.round(x, 6)).alias("proba"))
+    scores = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return softmax(scores, "v", "proba").select("vec_id", F.transform("proba", lambda x: F.round(x, 6)).alias("proba"))
 
 
 @query("p15_argmax", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS place FROM embeddings")
@@ -195,14 +201,13 @@ def lookup_join(spark, sf_dir: str) -> DataFrame:
     return df.join(keys, "key_id").select("sample_id", F.hex("key").alias("key_hex"))
 
 
-@query("j4_composite_join", "SELECT l_orderkey, l_linenumber, count(p.p_partkey) AS n_parts, count(*) - count(p.p_partkey) AS missing FROM lineitem l LEFT JOIN (SELECT p_partkey, s_suppkey FROM part CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 1)) p ON l_partkey = p_partkey AND l_suppkey = s_suppkey GROUP BY 1, 2")
+@query("j4_composite_join", "SELECT l_orderkey, l_linenumber, count(p.l_partkey) AS hits, count(*) - count(p.l_partkey) AS missing FROM lineitem l LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F') p USING (l_partkey, l_suppkey, l_returnflag) GROUP BY 1, 2")
 def composite_join(spark, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("hit"))
-    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 1").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(1).alias("hit2"))
-    joined = lines.join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left")
-    both = F.when(F.col("hit").isNotNull() & F.col("hit2").isNotNull(), 1)
-    return joined.groupBy("l_orderkey", "l_linenumber").agg(F.count(both).alias("n_parts"), (F.count("*") - F.count(both)).alias("missing"))
+    """Lines against the combinations of part, supplier and flag that stand in finished orders, by all three."""
+    keys = ["l_partkey", "l_suppkey", "l_returnflag"]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", *keys)
+    known = lines.where("l_linestatus = 'F'").select(*keys).distinct().withColumn("hit", F.lit(1))
+    return lines.join(known, keys, "left").groupBy("l_orderkey", "l_linenumber").agg(F.count("hit").alias("hits"), (F.count("*") - F.count("hit")).alias("missing"))
 
 
 @query("j5_semi_join", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")

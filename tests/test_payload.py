@@ -74,6 +74,87 @@ def test_phrases():
     assert [arrow_profile.phrase_count(x) for x in (b"", b"\0", b"\0" * 100)] == [0, 1, 2]
 
 
+def plain_phrases(data):
+    """Grows each phrase byte by byte."""
+    start = phrases = 0
+    while start < len(data):
+        end = start + 1
+        while end <= len(data) and data[start:end] in data[: end - 1]:
+            end += 1
+        start, phrases = end, phrases + 1
+    return phrases
+
+
+def test_phrases_are_those_of_the_plain_parsing():
+    for i in range(300):
+        data = bytes(RNG.integers(0, 2 + i % 4, i % 90, dtype=np.uint8))
+        assert arrow_profile.phrase_count(data) == plain_phrases(data)
+
+
+def test_spectrum_is_that_of_the_plain_transform():
+    for n in (8, 9, 31, 64, 100):
+        data = RNG.integers(0, 256, n).astype(np.uint8)
+        power = []
+        for k in range(1, n // 2 + 1):
+            angle = -2j * np.pi * k * np.arange(n) / n
+            power.append(abs((data * np.exp(angle)).sum()) ** 2)
+        m = len(power)
+        bands = [sum(power[i * m // 8 : (i + 1) * m // 8]) / sum(power) for i in range(8)]
+        entropy = -sum(b * math.log2(b) for b in bands if b > 0)
+        assert arrow_profile.spectrum(data) == pytest.approx([*bands, power.index(max(power)) / m, entropy])
+
+
+def test_single_statistics(df):
+    import bz2
+    import zlib
+
+    got = by_id(arrow_profile.profile(df, ["complexity", "compression", "autocorrelation", "runs"]))
+    native, runs = by_id(payload.autocorrelation(df, [1, 5, 16])), by_id(payload.runs(df))
+    for k, v in PAYLOADS.items():
+        if v:
+            assert got[k]["lz_complexity"] == plain_phrases(v) and got[k]["lz_complexity_normalized"] == plain_phrases(v) / len(v)
+            assert (got[k]["compression_ratio_zlib"], got[k]["compression_ratio_bz2"]) == (len(zlib.compress(v, 9)) / len(v), len(bz2.compress(v, 9)) / len(v))
+        for a, b in (("autocorr_lag_01", "acf_1"), ("autocorr_lag_05", "acf_5"), ("autocorr_lag_16", "acf_16")):
+            assert got[k][a] == pytest.approx(native[k][b], abs=1e-9, nan_ok=True)
+        assert got[k]["runs_count"] == pytest.approx(runs[k]["runs_count"], nan_ok=True) and got[k]["runs_zscore"] == pytest.approx(runs[k]["runs_z"], abs=1e-9, nan_ok=True)
+
+
+def test_chi2_tail_is_the_area_of_the_density():
+    for x, dof in ((200.0, 255), (255.0, 255), (310.0, 255), (9.0, 5)):
+        t = np.linspace(x, x + 600, 600_001)
+        density = np.exp((dof / 2 - 1) * np.log(t) - t / 2 - dof / 2 * math.log(2) - math.lgamma(dof / 2))
+        assert arrow_profile.chi2_tail(x, dof) == pytest.approx(float(np.trapezoid(density, t)), abs=1e-6)
+
+
+def test_softmax_of_one_score(spark):
+    rows = spark.createDataFrame([(1, [2.0]), (2, [1.0, 1.0, 1.0]), (3, [1000.0, 0.0])], "k int, v array<double>")
+    got = {r["k"]: r["p"] for r in relational.softmax(rows, "v", "p").collect()}
+    assert got[1] == pytest.approx([1 / (1 + math.exp(4)), 1 / (1 + math.exp(-4))]) and got[2] == pytest.approx([1 / 3] * 3) and got[3] == [1, 0]
+
+
+def test_bootstrap_is_that_of_drawn_rows(spark):
+    """The intervals from draws over cells agree with those from draws over rows."""
+    true, pred = RNG.integers(0, 3, 600), RNG.integers(0, 3, 600)
+    pred[:400] = true[:400]
+    rows = spark.createDataFrame([("m", int(a), int(b)) for a, b in zip(true, pred, strict=True)], "model string, y_true int, y_pred int")
+    got = evaluation.bootstrap(evaluation.confusion(rows, "model")).first()
+    f1s, recalls = [], []
+    for _ in range(1000):
+        i = RNG.integers(0, 600, 600)
+        cells = [(((true[i] == k) & (pred[i] == k)).sum(), (true[i] == k).sum(), (pred[i] == k).sum()) for k in range(3)]
+        f1s.append(np.mean([2 * tp / (t + p) for tp, t, p in cells]))
+        recalls.append(np.mean([tp / t for tp, t, _ in cells]))
+    want = [*np.percentile(f1s, [2.5, 97.5]), *np.percentile(recalls, [2.5, 97.5])]
+    assert [got["f1_low"], got["f1_high"], got["balanced_low"], got["balanced_high"]] == pytest.approx(want, abs=0.012)
+
+
+def test_grid_search_takes_the_plain_mean_over_classes(spark):
+    from paylume.operators import models
+
+    found = spark.createDataFrame([("m", y, p) for y, p in [(0, 0)] * 90 + [(1, 0)] * 10], "model string, y_true int, y_pred int")
+    assert models.scores(found, "model").first()["f1_macro"] == pytest.approx(2 * 90 / 190 / 2, abs=1e-4)
+
+
 def test_chi2_tail():
     for x in (0.5, 3.0, 40.0):
         assert arrow_profile.chi2_tail(x, 2) == pytest.approx(math.exp(-x / 2))

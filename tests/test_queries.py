@@ -7,20 +7,18 @@ from paylume.plans.queries import QUERIES, SQL
 from .compare import assert_same, connect
 from .conftest import SMALL
 
-SLOW = {"m4_boosting", "m5_linear_svc", "m10_latent_comparison", "x4_shadow_features", "v4_fold_loop", "f6_autocorrelation"}
-
 
 @pytest.fixture(scope="module")
 def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     assert_same(QUERIES[name](spark, SMALL), con, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).limit(1).count() == 1
 
