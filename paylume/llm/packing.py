@@ -1,12 +1,13 @@
 """Harmonic packing of tokenised documents into fixed-size sequences.
 
-A document's tokens are cut at class capacities ``size / k``: whole sequences first, then one piece for each
-power-of-two class of the remainder down to ``size / last_class``. A bin of class ``k`` takes exactly ``k`` pieces of
-``size / k`` tokens, so the number of documents in a bin is fixed and it is full. What is left, under
-``size / last_class`` tokens, belongs to the last harmonic class, which is filled by next fit (cut where a bin ends).
-Each task packs its own rows: open bins hold less than one sequence per class, nothing is shuffled, and sequence ids
-are built from the partition number. At the end of a task the open bins are merged into full sequences; what then
-remains is cut at powers of two, which need no padding.
+A document gives whole sequences first. What remains of it, ``r`` tokens, is of class ``k`` where it is over
+``size / (k + 1)`` and at most ``size / k`` tokens, and a bin of class ``k`` takes exactly ``k`` such remainders, uncut:
+the number of documents in a bin is fixed, and it is over ``k / (k + 1)`` full. The gap that is left is filled from the
+last class, the remainders of at most ``size / last_class`` tokens, which are cut where a gap ends. If there are too few
+of these, so that ``last_class`` bins wait, the next remainder of any class is cut to fill them. Each task packs its own
+rows: it holds one open bin of a class and the waiting ones, nothing is shuffled, and sequence ids are built from the
+partition number. At the end of a task the open bins are merged into full sequences; what then remains is cut at powers
+of two, which need no padding.
 
 Null texts count as empty; an empty text still yields its end token. Repeated rows are packed as often as they occur.
 Columns other than the id and the text are not read. An empty table gives an empty result.
@@ -15,6 +16,7 @@ Columns other than the id and the text are not read. An empty table gives an emp
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,18 +73,6 @@ class ChunkMemo:
         return b"".join(map(self.known.__getitem__, chunks))
 
 
-def cuts(tokens: int, size: int, last_class: int) -> list[int]:
-    """Lengths of a document's pieces: whole sequences, power-of-two classes, rest."""
-    out = [size] * (tokens // size)
-    rest, cut = tokens % size, size // 2
-    while cut * last_class >= size and cut:
-        if rest >= cut:
-            out.append(cut)
-            rest -= cut
-        cut //= 2
-    return out + [rest] * (rest > 0)
-
-
 _memos: dict[str, ChunkMemo] = {}
 
 
@@ -95,14 +85,19 @@ def memo_of(path: str) -> ChunkMemo:
     return _memos[path]
 
 
+def split(piece: tuple, n: int) -> tuple[tuple, tuple | None]:
+    """The first ``n`` tokens of a piece, and the rest if there is any."""
+    doc, start, ids, total = piece
+    return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total) if len(ids) > 4 * n else None
+
+
 class Bins:
-    """Open bins of one task: by piece length, and one for the last class."""
+    """Open bins of one task by class, and those that wait for a filling, with their room."""
 
     def __init__(self, size: int, last_class: int, base: int):
         self.size, self.last_class, self.next = size, last_class, base
         self.open: dict[int, list] = {}
-        self.tail: list = []
-        self.room = size
+        self.waiting: deque[list] = deque()
 
     def close(self, pieces: list) -> list:
         out, offset = [], 0
@@ -113,43 +108,56 @@ class Bins:
         return out
 
     def add(self, doc: int, ids: bytes) -> list:
-        total, start, out = len(ids) // 4, 0, []
-        for n in cuts(total, self.size, self.last_class):
-            piece = (doc, start, ids[4 * start : 4 * (start + n)], total)
-            start += n
-            if n * self.last_class < self.size:
-                out += self.add_tail(piece)
-                continue
-            waiting = self.open.setdefault(n, [])
-            waiting.append(piece)
-            if len(waiting) * n == self.size:
-                out += self.close(self.open.pop(n))
-        return out
-
-    def add_tail(self, piece: tuple) -> list:
-        doc, start, ids, total = piece
-        head = ids[: 4 * self.room]
-        self.tail.append((doc, start, head, total))
-        self.room -= len(head) // 4
-        if self.room:
+        piece, out = (doc, 0, ids, len(ids) // 4), []
+        while piece and len(piece[2]) >= 4 * self.size:
+            head, piece = split(piece, self.size)
+            out += self.close([head])
+        if piece and (len(piece[2]) // 4 * self.last_class <= self.size or len(self.waiting) >= self.last_class):
+            filled, piece = self.fill(piece)
+            out += filled
+        return out + self.place(piece) if piece else out
+
+    def fill(self, piece: tuple | None) -> tuple[list, tuple | None]:
+        """Cuts a piece into the waiting bins; what closes, and the rest."""
+        out = []
+        while piece and self.waiting:
+            pieces, room = self.waiting.popleft()
+            head, piece = split(piece, room)
+            room -= len(head[2]) // 4
+            if room:
+                self.waiting.appendleft([[*pieces, head], room])
+            else:
+                out += self.close([*pieces, head])
+        return out, piece
+
+    def place(self, piece: tuple) -> list:
+        n = len(piece[2]) // 4
+        k = self.size // n
+        if k >= self.last_class:
+            self.waiting.append([[piece], self.size - n])
+            return []
+        own = self.open.setdefault(k, [])
+        own.append(piece)
+        if len(own) < k:
             return []
-        out, self.tail, self.room = self.close(self.tail), [], self.size
-        rest = ids[len(head) :]
-        return out + (self.add_tail((doc, start + len(head) // 4, rest, total)) if rest else [])
+        room = self.size - sum(len(p[2]) // 4 for p in self.open.pop(k))
+        if not room:
+            return self.close(own)
+        self.waiting.append([own, room])
+        return []
 
     def finish(self) -> list:
         """Merges what is open into full sequences, then into power-of-two ones."""
-        left = [p for n in sorted(self.open, reverse=True) for p in self.open[n]] + self.tail
+        left = deque(p for pieces in (*(x for x, _ in self.waiting), *(self.open[k] for k in sorted(self.open))) for p in pieces)
         tokens, out = sum(len(p[2]) // 4 for p in left), []
         for n in [self.size] * (tokens // self.size) + [1 << b for b in range(self.size.bit_length(), -1, -1) if tokens % self.size >> b & 1]:
             taken = []
             while n:
-                doc, start, ids, total = left.pop(0)
-                head, rest = ids[: 4 * n], ids[4 * n :]
-                taken.append((doc, start, head, total))
-                n -= len(head) // 4
+                head, rest = split(left.popleft(), n)
+                taken.append(head)
+                n -= len(head[2]) // 4
                 if rest:
-                    left.insert(0, (doc, start + len(head) // 4, rest, total))
+                    left.appendleft(rest)
             out += self.close(taken)
         return out
 

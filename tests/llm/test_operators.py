@@ -212,6 +212,9 @@ def test_packing(docs, none):
             assert offset == total
             total += length
         assert total & (total - 1) == 0 and total <= 2048
+    # remainders stand whole unless they fill gaps or end a task
+    full = [p for p in by.values() if sum(n for _, n in p) == 2048]
+    assert full and len(rows) < 2 * len(TEXTS) + len(full)
     assert packing.pack(none, path).count() == 0
 
 
