@@ -194,30 +194,57 @@ def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame
     return df.select(*keep, "payload").mapInArrow(run, schema)
 
 
-def profile(df: DataFrame, parts: list[str]) -> DataFrame:
-    """Single Arrow statistics by id: complexity (phrases), compression, frequency, autocorrelation, runs."""
-    names = {"complexity": NAMES["complexity"][:2], "compression": NAMES["complexity"][2:], "frequency": NAMES["frequency"], "autocorrelation": NAMES["autocorrelation"][:16], "runs": NAMES["autocorrelation"][16:]}
-    columns = [n for p in parts for n in names[p]]
+def count_statistics(data: np.ndarray) -> list[float]:
+    """Entropy (bits a byte), uniformity chi-square (NaN under 16 bytes) and index of coincidence."""
+    n = len(data)
+    if not n:
+        return [0.0, NAN, 0.0]
+    counts = np.bincount(data, minlength=256)
+    squares = float(counts @ counts)
+    return [max(0.0, _entropy(counts[counts > 0], n)), 256.0 * squares / n - n if n >= 16 else NAN, (squares - n) / (n * (n - 1.0)) if n > 1 else 0.0]
+
+
+def block_rate(data: np.ndarray, size: int = 16) -> list[float]:
+    """Share of full blocks whose content stands more than once; 0 with fewer than two blocks."""
+    many = len(data) // size
+    if many < 2:
+        return [0.0]
+    counts = np.unique(np.ascontiguousarray(data[: many * size]).view(f"V{size}"), return_counts=True)[1]
+    return [float(counts[counts > 1].sum()) / many]
+
+
+def plain_lag(data: np.ndarray, lag: int = 4) -> list[float]:
+    """The product sum of centred pairs over the sum of squares, not scaled by their numbers; 0 for short or constant
+    payloads."""
+    if len(data) <= lag + 1:
+        return [0.0]
+    x = data - data.mean()
+    squares = float(x @ x)
+    return [float(x[:-lag] @ x[lag:]) / squares if squares >= 1e-9 else 0.0]
+
+
+#: Single statistics by name: their columns, and the function of a payload's bytes.
+PARTS = {
+    "complexity": (NAMES["complexity"][:2], lambda x: [0.0, NAN] if not len(x) else [float(k := phrase_count(x.tobytes())), k / len(x)]),
+    "compression": (NAMES["complexity"][2:], lambda x: [len(f(x.tobytes(), 9)) / len(x) if len(x) else NAN for f in (zlib.compress, bz2.compress)]),
+    "frequency": (NAMES["frequency"], spectrum),
+    "autocorrelation": (NAMES["autocorrelation"][:16], lambda x: lag_correlations(x, list(range(1, 17)))),
+    "runs": (NAMES["autocorrelation"][16:], runs_test),
+    "counts": (["entropy", "chi2", "ic"], count_statistics),
+    "blocks": (["rate"], block_rate),
+    "plain_lag": (["acf"], plain_lag),
+}
 
-    def values(data: bytes) -> list[float]:
-        out: list[float] = []
-        n = len(data)
-        for p in parts:
-            if p in ("frequency", "autocorrelation", "runs"):
-                x = np.frombuffer(data, np.uint8)
-                out += spectrum(x) if p == "frequency" else runs_test(x) if p == "runs" else lag_correlations(x, list(range(1, 17)))
-            elif not n:
-                out += [0.0, NAN] if p == "complexity" else [NAN, NAN]
-            elif p == "complexity":
-                k = phrase_count(data)
-                out += [float(k), k / n]
-            else:
-                out += [len(zlib.compress(data, 9)) / n, len(bz2.compress(data, 9)) / n]
-        return out
+
+def profile(df: DataFrame, parts: list[str], *keep: str) -> DataFrame:
+    """Single statistics by id in one Arrow pass, see ``PARTS``; other columns may be kept."""
+    columns = [n for p in parts for n in PARTS[p][0]]
+    kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = np.array([values(v.as_py() or b"") for v in batch.column(1)], float).reshape(batch.num_rows, len(columns))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(matrix[:, i]) for i in range(len(columns)))], names=["id", *columns])
+            payloads = (np.frombuffer(v.as_py() or b"", np.uint8) for v in batch.column(batch.num_columns - 1))
+            matrix = np.array([[x for p in parts for x in PARTS[p][1](data)] for data in payloads], float).reshape(batch.num_rows, len(columns))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(keep))), *(pa.array(matrix[:, i]) for i in range(len(columns)))], names=["id", *keep, *columns])
 
-    return df.select("id", "payload").mapInArrow(run, f"id {dict(df.dtypes)['id']}, " + ", ".join(f"{c} double" for c in columns))
+    return df.select("id", *keep, "payload").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in ("id", *keep)), *(f"{c} double" for c in columns)]))

@@ -96,11 +96,12 @@ def lag_sums(df: DataFrame, lags: list[int], *keep: str) -> DataFrame:
 def autocorrelation(df: DataFrame, lags: list[int]) -> DataFrame:
     """``acf_k``: mean product of centred pairs over the population variance, clipped to [-1, 1]; NaN from lag n on; a
     constant payload has 1.0 at lags below its length."""
-    n, m = F.col("n"), F.col("s") / F.col("n")
-    var = F.col("ss") / n - m * m
+    n, one = F.col("n"), F.greatest(F.col("n"), F.lit(1))
+    m = F.col("s") / one
+    var = F.col("ss") / one - m * m
     out = []
     for k in lags:
-        centred = (F.col(f"p_{k}") - m * (F.col(f"h_{k}") + F.col(f"t_{k}")) + (n - k) * m * m) / (n - k)
+        centred = (F.col(f"p_{k}") - m * (F.col(f"h_{k}") + F.col(f"t_{k}")) + (n - k) * m * m) / F.greatest(n - k, F.lit(1))
         out.append(F.when(n <= k, F.lit(NAN)).when(var < 1e-12, F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), centred / var))).alias(f"acf_{k}"))
     return lag_sums(df, lags).select("id", *out)
 
@@ -108,7 +109,7 @@ def autocorrelation(df: DataFrame, lags: list[int]) -> DataFrame:
 def plain_autocorrelation(df: DataFrame, lag: int, *keep: str) -> DataFrame:
     """The product sum of centred pairs over the sum of squares, not scaled by their numbers; 0 for short or constant
     payloads."""
-    n, m = F.col("n"), F.col("s") / F.col("n")
+    n, m = F.col("n"), F.col("s") / F.greatest(F.col("n"), F.lit(1))
     centred = F.col(f"p_{lag}") - m * (F.col(f"h_{lag}") + F.col(f"t_{lag}")) + (n - lag) * m * m
     squares = F.col("ss") - n * m * m
     return lag_sums(df, [lag], *keep).select("id", *keep, F.when((n <= lag + 1) | (squares < 1e-9), F.lit(0.0)).otherwise(centred / squares).alias("acf"))

@@ -131,13 +131,13 @@ PLAIN = "m AS (SELECT id, avg(x) AS m, var_pop(x) * count(*) AS q, count(*) AS n
 
 @query("f16_plain_autocorrelation", f"WITH {SQL_B}, {PLAIN} SELECT id, round(acf, 6) AS acf FROM w")
 def plain_autocorrelation(spark, sf_dir: str) -> DataFrame:
-    return payload.plain_autocorrelation(payloads(spark, sf_dir), 4).select("id", F.round("acf", 6).alias("acf"))
+    return arrow_profile.profile(payloads(spark, sf_dir), ["plain_lag"]).select("id", F.round("acf", 6).alias("acf"))
 
 
 def group_profile(df: DataFrame) -> DataFrame:
-    """Mean and population deviation of the statistics by label. ``df`` is read three times and joined by id once."""
-    stats = payload.count_profile(df, "label").withColumn("chi2", F.nanvl("chi2", F.lit(None).cast("double")))
-    joined = stats.join(payload.block_repetition(df), "id").join(payload.plain_autocorrelation(df, 4), "id")
+    """Mean and population deviation of the statistics by label: one pass over ``df``, then sums by label."""
+    sized = df.withColumn("n", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long"))
+    joined = arrow_profile.profile(sized, ["counts", "blocks", "plain_lag"], "label", "n").withColumn("chi2", F.nanvl("chi2", F.lit(None).cast("double")))
     both = [f(c).alias(f"{name}_{c}") for c in ("entropy", "rate", "chi2", "ic") for name, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("std", lambda c: F.round(F.stddev_pop(c), 6)))]
     return joined.groupBy("label").agg(F.count("*").alias("n"), *both, F.round(F.avg(F.abs("acf")), 6).alias("mean_abs_acf"), F.array_sort(F.collect_set("n")).alias("lengths"))
 

@@ -119,6 +119,14 @@ def test_single_statistics(df):
         assert got[k]["runs_count"] == pytest.approx(runs[k]["runs_count"], nan_ok=True) and got[k]["runs_zscore"] == pytest.approx(runs[k]["runs_z"], abs=1e-9, nan_ok=True)
 
 
+def test_arrow_statistics_are_the_native_ones(df):
+    got = by_id(arrow_profile.profile(df, ["counts", "blocks", "plain_lag"]))
+    counts, blocks, lag = by_id(payload.count_profile(df)), by_id(payload.block_repetition(df)), by_id(payload.plain_autocorrelation(df, 4))
+    for k in PAYLOADS:
+        for name, native in (("entropy", counts), ("chi2", counts), ("ic", counts), ("rate", blocks), ("acf", lag)):
+            assert got[k][name] == pytest.approx(native[k][name], abs=1e-9, nan_ok=True), (k, name)
+
+
 def test_chi2_tail_is_the_area_of_the_density():
     for x, dof in ((200.0, 255), (255.0, 255), (310.0, 255), (9.0, 5)):
         t = np.linspace(x, x + 600, 600_001)
