@@ -256,6 +256,41 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and all(not r["found"] for r in licenses.scan(docs).collect())
 
 
+def test_determinant_estimate_is_that_of_exact_subsets(spark):
+    """Distances agree with those from exact half subsets of many random starts, and outliers get the same verdict."""
+    texts = []
+    for i in range(240):
+        w = [VOCABULARY[k][:1] * int(RNG.integers(2, 9)) + str(j) for j, k in enumerate(RNG.integers(0, 400, int(RNG.integers(40, 90))))]
+        for j in range(int(RNG.integers(0, 6))):
+            w[int(RNG.integers(0, len(w)))] += "#" * int(RNG.integers(1, 4))
+        lines = [" ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+        lines += lines[: int(RNG.integers(0, 2))]
+        if i % 20 == 0:
+            lines = [" ".join(x + "&&##||$$" * 3 for x in w[:30])] * 1 + ["z" * 30 + str(k) for k in range(30)]
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = [r for r in quality_rules.judge(df).orderBy("doc_id").collect() if not r["base_failed"]]
+    n = np.array([r["n_words"] for r in got], float)
+    x = np.stack([np.log(np.maximum(np.array([r["word_chars"] for r in got]) / n, 1)), *(np.log1p(10 * np.array([r[c] for r in got]) / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words"))], axis=1)
+    ridge, half = np.diag(0.02 * x.var(0) + 1e-4), -(-len(x) // 2)
+    best = None
+    for _ in range(200):
+        rows = RNG.choice(len(x), 6, replace=False)
+        for _ in range(40):
+            m, c = x[rows].mean(0), np.cov(x[rows].T, bias=True) + ridge
+            rows = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:half]
+        m, c = x[rows].mean(0), np.cov(x[rows].T, bias=True) + ridge
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c * quality_rules.CONSISTENCY
+    want = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    have = np.array([r["distance"] for r in got])
+    rank = lambda v: np.argsort(np.argsort(v))
+    assert np.corrcoef(rank(have), rank(want))[0, 1] > 0.97 and 0.8 < np.median(have / want) < 1.25
+    limit = quality_rules.chi_square_limit(quality_rules.FALSE_CHANCE / len(got))
+    sure = (want > 1.5 * limit) | (want < limit / 1.5)
+    assert [r["kept"] for r, s in zip(got, sure, strict=True) if s] == [bool(w <= limit) for w, s in zip(want, sure, strict=True) if s] and sure.mean() > 0.9 and not all(r["kept"] for r in got)
+
+
 def test_long_paragraphs_of_a_licence(spark):
     """Repeated lines make few bigrams, whatever the paragraph's length; the same as in SQL."""
     import duckdb
