@@ -244,15 +244,23 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     first = entries.join(hub, "h").select("id", "n", F.negative("hub.minus").alias("v"), F.col("hub.n").alias("m"), F.col("hub.company").alias("company")).where("id <> v")
     first = first.where(F.least("n", "m") * 100 >= percent * F.greatest("n", "m")).groupBy("id").agg(F.max(F.struct("company", F.negative("v").alias("minus"))).alias("best"))
     first = first.select(F.col("id").alias("u"), F.negative("best.minus").alias("v"))
-    texts = heads.select(F.col("id").alias("doc_id"), "text").join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_set_rows(size), "id long, items array<long>"))
-    release(spark)
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+
+    def possible(n: str, m: str):
+        return apart * (100 + percent) <= (100 - percent) * (F.col(n) + F.col(m))
 
     def checked(pairs: DataFrame) -> DataFrame:
+        """Linked ones of written pairs; the sets of these only are made again from their texts."""
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        sets = written(heads.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_set_rows(size), "id long, items array<long>"))
+        release(spark)
         with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("items").alias("a")), "u")
         with_both = with_u.join(sets.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
         return with_both.withColumn("both", F.size(F.array_intersect("a", "b"))).where(linked(percent, "size(a)", "size(b)", "both")).select("u", "v")
 
+    own, others = heads.select(F.col("id").alias("u"), "n", "bits"), heads.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("bits_"))
+    first = written(first.join(own, "u").join(others, "v").where(possible("n", "m")).select("u", "v"))
+    release(spark)
     found = written(checked(first).unionByName(light))
     del first, hub, light
     release(spark)
@@ -264,13 +272,13 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     sketch = heads.join(some.select("id").distinct(), "id", "left_semi").select("id", "bits")
     some = some.join(sketch, "id")
     right = some.select("h", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "bits")))
-    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    pairs = some.join(right, "h").where(
-        (F.col("component") < F.col("component_")) & (F.least("n", "n_") * 100 >= percent * F.greatest("n", "n_")) & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_")))
-    )
-    more = checked(pairs.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct())
+    pairs = some.join(right, "h").where((F.col("component") < F.col("component_")) & (F.least("n", "n_") * 100 >= percent * F.greatest("n", "n_")) & possible("n", "n_"))
+    pairs = written(pairs.select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct())
+    del right, some, sketch
+    release(spark)
+    more = checked(pairs)
     links = written(found.unionByName(more))
-    del named, mixed, some, right, pairs, more, sketch
+    del named, mixed, pairs, more
     release(spark)
     labels = components(links)
     degree = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
