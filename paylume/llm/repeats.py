@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import release, written
-from .textkit import NOT_SPACE, Texts, mix, powers, prefix_sums, range_hash, sub_batches
+from .textkit import NOT_SPACE, Texts, byte_grams, mix, prefix_sums, range_hash, sub_batches, word_hashes
 
 U64 = np.uint64
 #: Bytes of contexts that a task holds, to fold equal ones, before it passes them on.
@@ -58,16 +58,32 @@ class Kind:
 
 
 class Tokens:
-    """Token hashes of a sub-batch of texts: ``value`` per token and ``of``, where each document's tokens begin."""
+    """Tokens of a sub-batch of texts: their number ``n`` and ``of``, where each document's tokens begin."""
 
     def __init__(self, texts: Texts, kind: Kind):
         self.texts = texts
+        self._sums: dict[int, np.ndarray] = {}
         if kind.words:
             self.starts, self.ends, self.of = texts.words(NOT_SPACE)
             self.value = texts.hashes(self.starts, self.ends)
+            self.n = len(self.value)
         else:
-            self.of = texts.at
-            self.value = mix(texts.data.astype(U64) + U64(1))
+            self.of, self.n = texts.at, len(texts.data)
+
+    def grams(self, gram: int) -> np.ndarray:
+        """Hash of the ``gram`` tokens at each place where so many are left."""
+        if not hasattr(self, "starts"):
+            return byte_grams(self.texts.data, gram)
+        at = np.arange(self.n - gram + 1)
+        return self.hashes(at, at + gram)
+
+    def hashes(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of the tokens first to last."""
+        if not hasattr(self, "starts"):
+            return word_hashes(self.texts.data, first, last, which)
+        if which not in self._sums:
+            self._sums[which] = prefix_sums(self.value, which)
+        return range_hash(self._sums[which], first, last, which)
 
     def bytes_of(self, first: int, last: int) -> bytes:
         """Tokens first to last, words joined by one space."""
@@ -86,14 +102,13 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return out if have == width else np.minimum(out[: len(values) - width + 1], out[width - have :][: len(values) - width + 1])
 
 
-def anchors(value: np.ndarray, of: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+def anchors(tokens: Tokens, kind: Kind) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: document number, first window, number of windows, anchor place, anchor hash."""
-    n = len(value)
-    if n < kind.length:
+    of = tokens.of
+    if tokens.n < kind.length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
-    sums = prefix_sums(value, 0)
-    at = np.arange(n - kind.gram + 1)
-    grams = range_hash(sums, at, at + kind.gram, 0)
+    grams = tokens.grams(kind.gram)
+    at = np.arange(len(grams))
     place = (least((grams >> U64(32) << U64(32)) | at.astype(U64), kind.length - kind.gram + 1) & U64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.diff(of)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -114,7 +129,7 @@ def anchors(value: np.ndarray, of: np.ndarray, kind: Kind) -> tuple[np.ndarray,
     first, many, at = (np.repeat(x, each) for x in (first, many, at))
     start = np.maximum(first, at - (part + 1) * size + 1)
     end = np.minimum(first + many, at - part * size + 1)
-    cores = range_hash(sums, at - part * size, at - (part + 1) * size + 1 + kind.length, 0)
+    cores = tokens.hashes(at - part * size, at - (part + 1) * size + 1 + kind.length)
     return doc[start], start, end - start, at, mix(cores + part.astype(U64))
 
 
@@ -123,7 +138,7 @@ def _anchor_rows(kind: Kind):
         for batch in sub_batches(batches, "text"):
             tokens = Tokens(Texts(batch.column(1)), kind)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, _, _, _, hashes = anchors(tokens.value, tokens.of, kind)
+            doc, _, _, _, hashes = anchors(tokens, kind)
             if not len(doc):
                 continue
             order = np.lexsort((hashes, doc))
@@ -138,7 +153,7 @@ def _anchor_rows(kind: Kind):
 def runs_of(batch: pa.RecordBatch, kind: Kind):
     """Runs of a sub-batch whose anchors are listed in ``keep``."""
     tokens = Tokens(Texts(batch.column("text")), kind)
-    doc, first, many, place, hashes = anchors(tokens.value, tokens.of, kind)
+    doc, first, many, place, hashes = anchors(tokens, kind)
     keep = batch.column("keep")
     own = np.repeat(np.arange(len(keep)), np.diff(keep.offsets.to_numpy()))
     kept = keep.flatten().to_numpy(zero_copy_only=False).view(U64)
@@ -147,10 +162,6 @@ def runs_of(batch: pa.RecordBatch, kind: Kind):
     return tokens, *(x[good] for x in (doc, first, many, place, hashes))
 
 
-def context_hash(tokens: Tokens, first: np.ndarray, last: np.ndarray, which: int = 1) -> np.ndarray:
-    return range_hash(prefix_sums(tokens.value, which), first, last, which)
-
-
 _CONTEXTS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("context", pa.binary()), ("anchor", pa.int32()), ("places", pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int32())])))])
 CONTEXTS = "h long, c long, context binary, anchor int, places array<struct<doc_id:long,first:int>>"
 
@@ -173,7 +184,7 @@ def _context_rows(kind: Kind):
             tokens, doc, first, many, place, hashes = runs_of(batch, kind)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
             last = first + many + kind.length - 1
-            codes = context_hash(tokens, first, last).view(np.int64)
+            codes = tokens.hashes(first, last, 1).view(np.int64)
             for h, c, a, b, p, i, f in zip(hashes.view(np.int64).tolist(), codes.tolist(), first.tolist(), last.tolist(), place.tolist(), ids.tolist(), (first - tokens.of[doc]).tolist(), strict=True):
                 if (x := held.get((h, c))) is None:
                     held[h, c] = x = (tokens.bytes_of(a, b), p - a, [], [])
@@ -201,7 +212,7 @@ def _window_rows(kind: Kind):
             row = np.repeat(np.arange(len(many)), many)
             k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             start = tokens.of[row] + k
-            a, b = (context_hash(tokens, start, start + kind.length, which).view(np.int64) for which in (0, 1))
+            a, b = (tokens.hashes(start, start + kind.length, which).view(np.int64) for which in (0, 1))
             h, c, first_doc, n = (batch.column(x).to_numpy(zero_copy_only=False)[row] for x in ("h", "c", "first_doc", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, h, c, k.astype(np.int32), first_doc, n)], names=["a", "b", "h", "c", "k", "first_doc", "n"])
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,9 @@ def trees(kind: repeats.Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in repeats.chunks(batches):
             texts = Texts(table.column("context"))
-            starts, ends, of = texts.words(NOT_SPACE)
-            _, words = np.unique(texts.hashes(starts, ends), return_inverse=True)
+            of = texts.words(NOT_SPACE)[2]
+            # contexts hold words joined by one space, so that words are numbered by their bytes
+            words = pc.list_flatten(pc.split_pattern(table.column("context"), b" ")).combine_chunks().dictionary_encode().indices.to_numpy()
             h, anchor, first_doc = (table.column(c).to_numpy() for c in ("h", "anchor", "first_doc"))
             many = np.diff(of) - kind.length + 1
             context = np.repeat(np.arange(len(many)), many)

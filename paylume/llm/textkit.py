@@ -32,23 +32,6 @@ ALNUM = _byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-_CODE = [_rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for _ in range(2)]
-_BASE = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i modulo 2**64 for i < n (or of the inverse base); kept between calls."""
-    kept = _powers.get((which, inverse))
-    if kept is None or len(kept) < n:
-        base = pow(_BASE[which], -1, 1 << 64) if inverse else _BASE[which]
-        steps = np.full(max(n, 1 << 16), base, U64)
-        steps[0] = 1
-        kept = _powers[which, inverse] = np.cumprod(steps, dtype=U64)
-    return kept[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the output."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -56,16 +39,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Hashes of token sequences are polynomials over this prime, so that two sequences of ``n`` tokens agree with a chance
+#: of at most ``n`` in ``PRIME`` over the choice of the base. (Modulo 2**64 there are sequences that agree for any base.)
+PRIME = U64((1 << 61) - 1)
+_BASE = [int(x) for x in np.random.default_rng(20240229).integers(1 << 59, (1 << 61) - 2, 2)]
+_LANE = [U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)]
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 32 bits."""
+    low = U64(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> U64(32), a & low, b >> U64(32), b & low
+    middle, bottom = a1 * b0 + a0 * b1, a0 * b0
+    total = (a1 * b1 << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32)) + (bottom & PRIME) + (bottom >> U64(61))
+    return reduced(total)
+
+
+def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+    """base**i modulo the prime for i < n (or of the inverse base); kept between calls."""
+    kept = _powers.get((which, inverse), np.ones(1, U64))
+    if len(kept) < n:
+        base = pow(_BASE[which], -1, int(PRIME)) if inverse else _BASE[which]
+        while len(kept) < max(n, 1 << 16):
+            kept = np.concatenate([kept, product(kept, U64(pow(base, len(kept), int(PRIME))))])
+        _powers[which, inverse] = kept
+    return kept[:n]
+
+
 def prefix_sums(values: np.ndarray, which: int) -> np.ndarray:
-    """P with P[j] - P[i] = sum of values[i:j] times powers of the base; wraps around."""
+    """P with P[j] - P[i] = sum of values[i:j] times powers of the base, modulo the prime. Halves are summed apart, which
+    is exact for fewer than 2**32 values."""
+    terms = product(reduced(values), powers(which, len(values)))
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(which, len(values)), out=out[1:])
+    high = reduced(np.cumsum(terms >> U64(32), dtype=U64))
+    out[1:] = reduced(product(high, U64(1 << 32)) + reduced(np.cumsum(terms & U64(0xFFFFFFFF), dtype=U64)))
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
     """Hash of each values[start:end], equal for equal content wherever it stands."""
-    return mix((sums[end] - sums[start]) * powers(which, len(sums), True)[start])
+    total = sums[end] + PRIME - sums[start]
+    return mix(product(np.where(total >= PRIME, total - PRIME, total), powers(which, len(sums), True)[start]))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each data[start:end]: its lanes of eight bytes are mixed apart, each with its place, and summed."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    many = np.maximum(-(-size // 8), 1)
+    first = np.cumsum(many) - many
+    lane = np.arange(int(many.sum())) - np.repeat(first, many)
+    at = np.repeat(starts, many) + 8 * lane
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    octets = np.lib.stride_tricks.sliding_window_view(padded, 8)[at]
+    left = np.minimum(np.repeat(ends, many) - at, 8)
+    cut = (U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.maximum(left, 1).astype(U64)))) * (left > 0)
+    value = np.ascontiguousarray(octets).view("<u8")[:, 0] & cut
+    mixed = mix(mix(value ^ _LANE[which]) + (lane.astype(U64) + U64(1)) * _LANE[1 - which])
+    return mix(np.add.reduceat(mixed, first) + size.astype(U64) * _LANE[which])
+
+
+def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes at each place where so many are left, by lanes of eight bytes."""
+    n = len(data) - gram + 1
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lane = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8")[:, 0]
+    if gram < 8:
+        return mix((lane[:n] & U64((1 << 8 * gram) - 1)) + _LANE[0])
+    out = np.zeros(n, U64)
+    for at in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        out = mix(out ^ lane[at : at + n]) * _LANE[0]
+    return mix(out)
 
 
 class Texts:
@@ -99,8 +151,7 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.at)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-        data = LOWER[self.data] if lower else self.data
-        return range_hash(prefix_sums(_CODE[which][data], which), starts, ends, which)
+        return word_hashes(LOWER[self.data] if lower else self.data, starts, ends, which)
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
