@@ -15,7 +15,6 @@ Columns other than the id and the text are not read. An empty table gives an emp
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,66 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import token_ids
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-#: Chunks between spaces whose token ids a worker remembers.
-MEMO = 1_000_000
-#: A space that is not alone between two non-spaces.
-ODD_SPACE = re.compile(r" \s|\s |^ | $")
 #: Bits of a sequence id that count within a partition.
 LOCAL_BITS = 40
 
 
-class ChunkMemo:
-    """Token ids, as little-endian 32-bit bytes, of chunks that a pre-tokeniser never joins with a neighbour.
-
-    Byte-level pre-tokenisers start a new piece at each single space between two non-spaces, so what stands between
-    such spaces can be encoded apart. Unknown chunks of a text are encoded in one call, held apart by a special token,
-    which the tokeniser takes out before anything else. Other texts are encoded whole.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-        self.apart, self.apart_id = next(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items()), (None, None))
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        ids = self.encode(self.apart.join(new))
-        ends = [*np.flatnonzero(ids == self.apart_id).tolist(), len(ids)]
-        raw, start = ids.tobytes(), 0
-        for chunk, end in zip(new, ends, strict=True):
-            self.known[chunk] = raw[4 * start : 4 * end]
-            start = end + 1
-
-    def text(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        if not text:
-            return b""
-        if self.apart is None or self.apart in text or ODD_SPACE.search(text):
-            return self.encode(text).tobytes()
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [" " * (i > 0) + c for i, c in enumerate(text.split(" "))]
-        if new := set(chunks).difference(self.known):
-            if len(self.known) + len(new) > MEMO:
-                self.known.clear()
-                new = set(chunks)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, chunks))
-
-
-_memos: dict[str, ChunkMemo] = {}
-
-
-def memo_of(path: str) -> ChunkMemo:
-    """The worker's memo, kept between its tasks."""
-    from tokenizers import Tokenizer
-
-    if path not in _memos:
-        _memos[path] = ChunkMemo(Tokenizer.from_file(path))
-    return _memos[path]
-
-
 def split(piece: tuple, n: int) -> tuple[tuple, tuple | None]:
     """The first ``n`` tokens of a piece, and the rest if there is any."""
     doc, start, ids, total = piece
@@ -168,13 +115,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
         raise ValueError("size must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(tokenizer_path)
+        encoder = token_ids(tokenizer_path)
         bins = Bins(size, last_class, TaskContext.get().partitionId() << LOCAL_BITS)
         end = np.array([end_id], "<u4").tobytes()
         rows = []
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                rows += bins.add(doc.as_py(), memo.text(text.as_py() or "") + end)
+                rows += bins.add(doc.as_py(), encoder.text(text.as_py() or "") + end)
                 if len(rows) >= 4000:
                     yield _batch(rows)
                     rows = []

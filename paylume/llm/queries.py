@@ -1,6 +1,6 @@
 """Queries of the training-data operators, each over its whole table, and SQL where it can express them."""
 
-from . import decontaminate, jaccard_join, licenses, packing, pii, quality_mil, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import bin_packing, collocations, decontaminate, jaccard_join, licenses, packing, periodic_runs, pii, quality_mil, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_robust_outliers": quality_rules.op1_robust_outliers,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_quality_attention": quality_mil.op8_quality_attention,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+    "op11_best_fit_packing": bin_packing.op11_best_fit_packing,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
-SQL = {"op3_license_scan": licenses.OP3_SQL, "op2_benchmark_decontamination": decontaminate.OP2_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
+SQL = {"op3_license_scan": licenses.OP3_SQL, "op2_benchmark_decontamination": decontaminate.OP2_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL, "op13_phrase_collocations": collocations.OP13_SQL}

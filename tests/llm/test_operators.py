@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from paylume.llm import decontaminate, jaccard_join, licenses, packing, pii, quality_mil, quality_rules, queries, substring_dedup, suffix_dedup, toxicity
+from paylume.llm import decontaminate, jaccard_join, licenses, packing, pii, quality_mil, quality_rules, queries, substring_dedup, suffix_dedup, tokens, toxicity
 
 from ..compare import assert_same, connect
 from ..conftest import SMALL
@@ -223,8 +223,9 @@ def test_chunked_ids_are_whole_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    memo = packing.ChunkMemo(t)
-    for text in ["", " ", "a  b", " lead", "trail ", "a\n b", "x <|endoftext|> y", "don't 've", "1 2\t3", "é à\nb", "a\0b c"]:
+    memo = tokens.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert memo.ranked is not None
+    for text in ["", " ", "a  b", " lead", "trail ", "a\n b", "x <|endoftext|> y", "don't 've", "1 2\t3", "é à\nb", "a\0b c", "I'm a's 's", "\n's", "a\n\nb", "Łódź 日本 ²3", "...a,,b!?%", "a_b-c 3.14", "\x1cb\r\nc"]:
         assert memo.text(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
