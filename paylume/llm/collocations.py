@@ -38,7 +38,7 @@ from .textkit import LOWER, U64, Texts, _byte_set, mix, sub_batches, word_hashes
 #: Bits of the filters, as a power of two: 16 MB.
 BITS = 27
 #: Bytes of text that a task counts at once.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 #: Bytes that part words, and those of them that also end a piece.
 INSIDE = _byte_set((0x20, 0x20), (0x09, 0x0D), *((b, b) for b in b".,;:!?"))
 ENDS = ~_byte_set((0x0A, 0x0D), *((b, b) for b in b".,;:!?"))
