@@ -1,52 +1,26 @@
-"""Payload statistics without a built-in counterpart: compressibility, spectrum, chi-square tail, and the full feature
-table of 307 columns in one Arrow pass. Undefined statistics are NaN."""
+"""Payload statistics in one Arrow pass: single ones by name, and the full feature table of 307 columns. Undefined
+statistics are NaN. The kernels of :mod:`.batch` are row-local, so that a pass runs on tables and on streams."""
 
 from __future__ import annotations
 
-import bz2
-import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batch
+from .batch import BANDS, Payloads, spectrum  # noqa: F401
+
 NAN = float("nan")
-BANDS = 8
 FAMILIES = ["histogram", "entropy", "ngrams", "autocorrelation", "complexity", "frequency"]
 
 
 def chi2_tail(x: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution: series below a + 1, continued fraction above, in log space."""
-    if math.isnan(x):
-        return NAN
-    if x <= 0:
-        return 1.0
-    a, z = dof / 2.0, x / 2.0
-    front = a * math.log(z) - z - math.lgamma(a)
-    if z < a + 1:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > 1e-16 * total:
-            k += 1
-            term *= z / k
-            total += term
-        return max(0.0, 1.0 - math.exp(front) * total)
-    tiny = 1e-300
-    b = z + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or tiny)
-        c = b + an / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return math.exp(front) * h
+    """Upper tail of the chi-square distribution."""
+    return float(batch.chi2_tails(np.array([x], float), dof)[0])
 
 
 def with_pvalue(df: DataFrame, column: str, dof: int) -> DataFrame:
@@ -54,106 +28,14 @@ def with_pvalue(df: DataFrame, column: str, dof: int) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(x):
-        return x.map(lambda v: chi2_tail(v, dof))
+        return x.__class__(batch.chi2_tails(x.to_numpy(float), dof), index=x.index)
 
     return df.withColumn("p_value", tail(F.coalesce(F.col(column), F.lit(NAN))))
 
 
-def agreement(data: bytes, a: int, b: int) -> int:
-    """How many bytes from ``a`` equal those from ``b`` > ``a``, up to the end."""
-    n, step = 0, 1
-    while step:
-        if b + n + step <= len(data) and data[a + n : a + n + step] == data[b + n : b + n + step]:
-            n, step = n + step, 2 * step
-        else:
-            step //= 2
-    return n
-
-
 def phrase_count(data: bytes) -> int:
-    """Phrases of the 1976 parsing: each is the shortest string from its start that doesn't stand earlier, where the
-    earlier one may overlap it but for the last byte. Every candidate place is extended as far as it agrees, and the
-    search goes on from there for longer strings only, so a phrase takes one pass over what is before it."""
-    start = phrases = 0
-    while start < len(data):
-        phrases += 1
-        longest, at = 0, data.find(data[start : start + 1], 0, start)
-        while at >= 0:
-            longest += agreement(data, at + longest, start + longest)
-            if start + longest >= len(data):
-                break
-            at = data.find(data[start : start + longest + 1], at + 1, start + longest)
-        start += longest + 1
-    return phrases
-
-
-def spectrum(data: np.ndarray) -> list[float]:
-    """Shares of eight index bands of the power spectrum without its mean, place of the peak, entropy of the bands."""
-    power = np.square(np.abs(np.fft.rfft(data.astype(float))))[1:] if len(data) >= 8 else np.zeros(0)
-    below = np.concatenate([[0.0], np.cumsum(power)])
-    if below[-1] < 1e-12:
-        return [NAN] * (BANDS + 2)
-    share = np.diff(below[np.arange(BANDS + 1) * len(power) // BANDS]) / below[-1]
-    entropy = -np.sum(share * np.log2(share, out=np.zeros(BANDS), where=share > 0))
-    return [*share.tolist(), int(np.argmax(power)) / len(power), float(entropy)]
-
-
-def lag_correlations(data: np.ndarray, lags: list[int]) -> list[float]:
-    """Mean product of centred bytes ``k`` apart over their population variance, within [-1, 1]; NaN from lag n on; 1
-    for a constant payload."""
-    x = data - data.mean() if len(data) else data.astype(float)
-    var = float(x @ x) / max(len(x), 1)
-    return [NAN if k >= len(x) else 1.0 if var < 1e-12 else float(np.clip(x[:-k] @ x[k:] / (len(x) - k) / var, -1, 1)) for k in lags]
-
-
-def runs_test(data: np.ndarray) -> list[float]:
-    """Runs above the median and their z score."""
-    n = len(data)
-    if n < 2:
-        return [NAN, NAN]
-    above = data > np.median(data)
-    runs, n1 = 1 + int(np.count_nonzero(above[1:] != above[:-1])), float(np.count_nonzero(above))
-    cross = 2 * n1 * (n - n1)
-    square = cross * (cross - n) / (n * n * (n - 1))
-    return [float(runs), (runs - cross / n - 1) / math.sqrt(square) if square > 0 else NAN]
-
-
-def _entropy(counts: np.ndarray, n: int) -> float:
-    return float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-
-
-def family(name: str, data: np.ndarray) -> list[float]:
-    n = len(data)
-    if name == "histogram":
-        return (np.bincount(data, minlength=256) / max(n, 1)).tolist()
-    if name == "entropy":
-        counts = np.bincount(data, minlength=256)
-        chi2 = 256.0 * float((counts.astype(float) ** 2).sum()) / n - n if n >= 16 else NAN
-        return [_entropy(counts[counts > 0], n) if n else 0.0, chi2, 255.0 if n >= 16 else NAN, chi2_tail(chi2, 255)]
-    if name == "ngrams":
-        out: list[float] = []
-        for g in (2, 3, 4):
-            if n < g:
-                out += [NAN] * 5
-                continue
-            packed = np.zeros(n - g + 1, np.int64)
-            for i in range(g):
-                packed = packed * 256 + data[i : n - g + 1 + i]
-            counts = np.unique(packed, return_counts=True)[1].astype(float)
-            m, k = n - g + 1, len(counts)
-            out += [_entropy(counts, m), float(k), float(counts.max() / m), float((counts**2).sum() * k / m - m) if k > 1 else 0.0, 1 - k / 256.0**g]
-        return out
-    if name == "autocorrelation":
-        return [*lag_correlations(data, list(range(1, 17))), *runs_test(data)]
-    raw = data.tobytes()
-    if name == "complexity":
-        if not n:
-            return [NAN] * 4
-        phrases = phrase_count(raw)
-        return [float(phrases), phrases / n, len(zlib.compress(raw, 9)) / n, len(bz2.compress(raw, 9)) / n]
-    if name == "frequency":
-        return spectrum(data)
-    raise ValueError(f"unknown family {name}")
+    """Phrases of one payload."""
+    return int(batch.phrase_counts(Payloads.of(data))[0])
 
 
 #: Column names by family (fixed values).
@@ -175,76 +57,60 @@ def feature_names(families: list[str] | None = None) -> list[str]:
     return [n for f in FAMILIES if f in chosen for n in NAMES[f]]
 
 
-def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Metadata and features of each payload, in one Arrow pass; the payload itself is dropped."""
-    names, chosen = feature_names(families), [f for f in FAMILIES if families is None or f in families]
-    keep = [c for c in df.columns if c != "payload"]
+def _complexity(p: Payloads) -> np.ndarray:
+    found = np.concatenate([batch.phrases(p), batch.ratios(p)], axis=1)
+    found[p.n == 0] = NAN
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(batch.num_columns - 1):
-                data = np.frombuffer(value.as_py() or b"", np.uint8)
-                rows.append([x for f in chosen for x in family(f, data)])
-            matrix = np.array(rows, float).reshape(len(rows), len(names))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(matrix[:, i]) for i in range(len(names)))], names=[*keep, *names])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{n} double" for n in names)])
-    return df.select(*keep, "payload").mapInArrow(run, schema)
-
-
-def count_statistics(data: np.ndarray) -> list[float]:
-    """Entropy (bits a byte), uniformity chi-square (NaN under 16 bytes) and index of coincidence."""
-    n = len(data)
-    if not n:
-        return [0.0, NAN, 0.0]
-    counts = np.bincount(data, minlength=256)
-    squares = float(counts @ counts)
-    return [max(0.0, _entropy(counts[counts > 0], n)), 256.0 * squares / n - n if n >= 16 else NAN, (squares - n) / (n * (n - 1.0)) if n > 1 else 0.0]
-
-
-def block_rate(data: np.ndarray, size: int = 16) -> list[float]:
-    """Share of full blocks whose content stands more than once; 0 with fewer than two blocks."""
-    many = len(data) // size
-    if many < 2:
-        return [0.0]
-    counts = np.unique(np.ascontiguousarray(data[: many * size]).view(f"V{size}"), return_counts=True)[1]
-    return [float(counts[counts > 1].sum()) / many]
-
-
-def plain_lag(data: np.ndarray, lag: int = 4) -> list[float]:
-    """The product sum of centred pairs over the sum of squares, not scaled by their numbers; 0 for short or constant
-    payloads."""
-    if len(data) <= lag + 1:
-        return [0.0]
-    x = data - data.mean()
-    squares = float(x @ x)
-    return [float(x[:-lag] @ x[lag:]) / squares if squares >= 1e-9 else 0.0]
-
-
-#: Single statistics by name: their columns, and the function of a payload's bytes.
-PARTS = {
-    "complexity": (NAMES["complexity"][:2], lambda x: [0.0, NAN] if not len(x) else [float(k := phrase_count(x.tobytes())), k / len(x)]),
-    "compression": (NAMES["complexity"][2:], lambda x: [len(f(x.tobytes(), 9)) / len(x) if len(x) else NAN for f in (zlib.compress, bz2.compress)]),
-    "frequency": (NAMES["frequency"], spectrum),
-    "autocorrelation": (NAMES["autocorrelation"][:16], lambda x: lag_correlations(x, list(range(1, 17)))),
-    "runs": (NAMES["autocorrelation"][16:], runs_test),
-    "counts": (["entropy", "chi2", "ic"], count_statistics),
-    "blocks": (["rate"], block_rate),
-    "plain_lag": (["acf"], plain_lag),
+Kernel = Callable[[Payloads], np.ndarray]
+#: Kernels of the families, by the order of their columns in ``NAMES``.
+KERNELS: dict[str, list[Kernel]] = {
+    "histogram": [batch.histogram],
+    "entropy": [batch.uniformity],
+    "ngrams": [lambda p: batch.grams(p, 2), lambda p: batch.grams(p, 3), lambda p: batch.grams(p, 4)],
+    "autocorrelation": [batch.lag_correlations, batch.runs_test],
+    "complexity": [_complexity],
+    "frequency": [batch.spectra],
 }
 
+#: Single statistics by name: their columns and kernel.
+PARTS: dict[str, tuple[list[str], Kernel]] = {
+    "histogram": (NAMES["histogram"], batch.histogram),
+    "uniformity": (NAMES["entropy"], batch.uniformity),
+    **{f"ngrams_{g}": (NAMES["ngrams"][5 * i : 5 * i + 5], lambda p, g=g: batch.grams(p, g)) for i, g in enumerate((2, 3, 4))},
+    "complexity": (NAMES["complexity"][:2], batch.phrases),
+    "compression": (NAMES["complexity"][2:], batch.ratios),
+    "zlib": (NAMES["complexity"][2:3], lambda p: batch.ratios(p, zlib.compress)),
+    "frequency": (NAMES["frequency"], batch.spectra),
+    "autocorrelation": (NAMES["autocorrelation"][:16], batch.lag_correlations),
+    "runs": (NAMES["autocorrelation"][16:], batch.runs_test),
+    "counts": (["entropy", "chi2", "ic"], batch.count_statistics),
+    "blocks": (["rate"], batch.block_rate),
+    "plain_lag": (["acf"], batch.plain_lag),
+}
 
-def profile(df: DataFrame, parts: list[str], *keep: str) -> DataFrame:
-    """Single statistics by id in one Arrow pass, see ``PARTS``; other columns may be kept."""
-    columns = [n for p in parts for n in PARTS[p][0]]
-    kinds = dict(df.dtypes)
+
+def _pass(df: DataFrame, keep: list[str], names: list[str], kernels: list[Kernel]) -> DataFrame:
+    """The kept columns and the kernels' columns of each row's payload; a table's batches, or a stream's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = (np.frombuffer(v.as_py() or b"", np.uint8) for v in batch.column(batch.num_columns - 1))
-            matrix = np.array([[x for p in parts for x in PARTS[p][1](data)] for data in payloads], float).reshape(batch.num_rows, len(columns))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(keep))), *(pa.array(matrix[:, i]) for i in range(len(columns)))], names=["id", *keep, *columns])
+        for whole in batches:
+            for part in batch.slices(whole, len(keep)) if whole.num_rows else ():
+                p = Payloads(part.column(len(keep)))
+                matrix = np.concatenate([k(p) for k in kernels], axis=1)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=[*keep, *names])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keep, "payload").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in names)]))
 
-    return df.select("id", *keep, "payload").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in ("id", *keep)), *(f"{c} double" for c in columns)]))
+
+def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Metadata and features of each payload, in one Arrow pass; the payload itself is dropped."""
+    names, chosen = feature_names(families), [f for f in FAMILIES if families is None or f in families]
+    return _pass(df, [c for c in df.columns if c != "payload"], names, [k for f in chosen for k in KERNELS[f]])
+
+
+def profile(df: DataFrame, parts: list[str], *keep: str) -> DataFrame:
+    """Single statistics by id in one Arrow pass, see ``PARTS``; other columns may be kept."""
+    return _pass(df, ["id", *keep], [n for p in parts for n in PARTS[p][0]], [PARTS[p][1] for p in parts])

@@ -39,9 +39,24 @@ def unique_nonce(spark, sf_dir: str) -> DataFrame:
     return keys.agg(F.count("*").alias("keys"), F.count(F.when(F.col("n") != F.col("d"), 1)).alias("keys_with_reuse"))
 
 
+def row_structure(df: DataFrame) -> DataFrame:
+    """Adds ``errors``, what is wrong with each row: absent required values and lengths that do not fit. Row-local, so that
+    it runs on streams."""
+    absent = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in REQUIRED if c in df.columns]
+    missing = [F.lit(f"no column {c}") for c in REQUIRED if c not in df.columns]
+    length = [F.when(F.col("len_ct") != F.col("len_pt") + 16, F.lit("len_ct"))] if {"len_ct", "len_pt"} <= set(df.columns) else []
+    return df.withColumn("errors", F.array_compact(F.array(*absent, *missing, *length)))
+
+
+def row_uniformity(df: DataFrame, least: int = 256, alpha: float = 0.05) -> DataFrame:
+    """Chi-square of each payload with its upper tail, and whether it is rejected; null under ``least`` bytes. Row-local."""
+    stats = arrow_profile.profile(df.withColumn("_n", F.coalesce(F.octet_length("payload"), F.lit(0))), ["uniformity"], "_n")
+    return stats.select("id", F.col("_n").alias("n"), F.col("chi2_statistic").alias("chi2"), F.col("chi2_pvalue").alias("p_value"), F.when(F.col("_n") >= least, F.col("chi2_pvalue") < alpha).alias("rejected"))
+
+
 def uniformity(df: DataFrame, least: int = 256, *by: str) -> DataFrame:
     """Chi-square of payloads of at least ``least`` bytes: number, mean, deviation, and share rejected at 0.05."""
-    stats = arrow_profile.with_pvalue(payload.count_profile(df, *by).where(F.col("n") >= least), "chi2", 255)
+    stats = arrow_profile.profile(df.where(F.octet_length("payload") >= least), ["uniformity"], *by).withColumnsRenamed({"chi2_statistic": "chi2", "chi2_pvalue": "p_value"})
     return stats.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("chi2"), 6).alias("mean_chi2"), F.round(F.stddev_pop("chi2"), 6).alias("std_chi2"), F.round(F.avg(F.when(F.col("p_value") < 0.05, 1.0).otherwise(0.0)), 6).alias("rejected"))
 
 
@@ -62,7 +77,7 @@ def uniformity_by_class(spark, sf_dir: str) -> DataFrame:
 @query("q6_compressibility")
 def compressibility(spark, sf_dir: str) -> DataFrame:
     df = payloads(spark, sf_dir)
-    ratios = arrow_profile.profile(df, ["compression"]).join(df.select("id", "label"), "id").where(~F.isnan("compression_ratio_zlib"))
+    ratios = arrow_profile.profile(df, ["zlib"], "label").where(~F.isnan("compression_ratio_zlib"))
     return ratios.groupBy("label").agg(*(F.round(f("compression_ratio_zlib"), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("most", F.max), ("least", F.min))))
 
 

@@ -16,7 +16,7 @@ STATS = COUNTS + ", a AS (SELECT id, sum(c * log2(c)) AS clogc, sum(c * c) AS cc
 
 @query("f1_byte_histogram", f"WITH {COUNTS} SELECT p.id, " + ", ".join(f"coalesce(sum(c) FILTER (x = {i}), 0) / greatest(p.n, 1) AS byte_hist_{i:03d}" for i in range(256)) + " FROM p LEFT JOIN c USING (id) GROUP BY p.id, p.n")
 def histogram(spark, sf_dir: str) -> DataFrame:
-    return payload.histogram(payloads(spark, sf_dir))
+    return arrow_profile.profile(payloads(spark, sf_dir), ["histogram"])
 
 
 @query("f2_entropy", f"WITH {STATS} SELECT id, CAST(n AS BIGINT) AS n, round(entropy, 6) AS entropy FROM s")
@@ -44,8 +44,9 @@ def _gram_sql(n: int) -> str:
 
 def _grams(n: int):
     def run(spark, sf_dir: str) -> DataFrame:
-        found = payload.gram_profile(payloads(spark, sf_dir), n).withColumnRenamed("distinct", "distinct_grams")
-        return found.select("id", *(NULLED(c).alias(c) for c in found.columns[1:]))
+        found = arrow_profile.profile(payloads(spark, sf_dir), [f"ngrams_{n}"])
+        names = ["entropy", "distinct_grams", "max_freq", "chi2", "collision_rate"]
+        return found.select("id", *(NULLED(c).alias(name) for c, name in zip(found.columns[1:], names, strict=True)))
 
     return run
 

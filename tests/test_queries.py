@@ -9,8 +9,8 @@ from .compare import assert_same, connect
 from .conftest import SMALL
 
 
-#: Hundreds of models, minutes each; their functions are tested below with few rounds.
-LONG = {"m4_boosting", "x4_shadow_features", "v4_fold_loop"}
+#: Hundreds of small jobs in turn, minutes on few cores; its function is tested below with few rounds.
+LONG = {"m4_boosting"}
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def test_long_queries_with_few_rounds(spark):
     hits, rounds = selection.shadow_hits(selection.features(spark, SMALL), selection.NAMES[:12], "vec_id", rounds=2, trees=5)
     assert rounds == 2 and len(hits) == 12 and all(0 <= k <= 2 for k in hits.values())
     rows = models.balanced(models.vectors(spark, SMALL)).withColumn("fold", F.col("grp") % 5).cache()
-    found = models.selected_fit("logistic", rows.where("fold <> 0"), rows.where("fold = 0"), rounds=1)
+    found = models.selected_fits("logistic", {"a": (rows.where("fold <> 0"), rows.where("fold = 0"))}, rounds=1)["a"]
     assert models.scores(found, "model").first()["f1_macro"] is not None and found.count() == rows.where("fold = 0").count()
 
 
