@@ -1,13 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 Text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. The items' word sequences
-build one suffix automaton per block of at most ``BLOCK_WORDS`` words, which bounds what is broadcast: more items mean
-more blocks, each streamed over the documents in turn. A task finds the words of a batch of documents, looks them up in
-the block's vocabulary, and feeds the automaton each run of known words that is long enough for a match; unknown words
-reset it, so skipping the rest loses nothing. The automaton tracks the longest match that ends at each word.
-
-Null and empty texts have no words and no hits. Items without words never match; repeated items all count. Documents
-may be very long. Only the named columns of either table are read, so that others may clash. Empty tables are allowed.
+build one suffix automaton per block of about ``BLOCK_WORDS`` words, which bounds what is built and sent at once. A task
+takes each batch of its documents through the automata of all blocks, so that the documents are read once and stay rows:
+it finds the words, looks them up in a block's vocabulary, and feeds the automaton each run of known words that is long
+enough for a match; unknown words reset it, so skipping the rest loses nothing. The automaton tracks the longest match
+that ends at each word. Workers hold the automata of all items: the items are a test set, not a corpus.
+
+Null and empty texts have no words and no hits. Items without words never match; repeated items all count. Rows with a null
+or repeated id are matched like any other. Documents may be very long. Only the named columns of either table are read, so that others may clash. Empty tables are allowed.
 """
 
 from __future__ import annotations
@@ -129,87 +130,81 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[dict[str, lis
         yield block
 
 
-def _scan(automaton, window: int):
-    """A task's function: matches of its documents with one automaton."""
+class Scanner:
+    """One automaton and the hashes of its words, kept by a worker."""
+
+    def __init__(self, auto: SuffixAutomaton):
+        keys = Texts(pa.array([w.decode() for w in sorted(auto.vocabulary)], pa.large_string()))
+        self.auto = auto
+        self.codes = np.sort(keys.hashes(keys.at[:-1], keys.at[1:])) if len(keys) else np.zeros(1, np.uint64)
+
+    def scan(self, texts: Texts, raw: bytes, spans: tuple, hashes: np.ndarray, found: dict[int, tuple[list, set]]) -> None:
+        """Adds, by number of the text, stretches of hit words and the items that hit them to ``found``."""
+        auto, (starts, ends, of) = self.auto, spans
+        if not len(starts):
+            return
+        seen = self.codes[np.minimum(np.searchsorted(self.codes, hashes), len(self.codes) - 1)] == hashes
+        doc_of = np.repeat(np.arange(len(texts)), np.diff(of))
+        # runs of known words within a document, of the shortest window's length at least
+        first = np.r_[0, np.flatnonzero((seen[1:] != seen[:-1]) | (doc_of[1:] != doc_of[:-1])) + 1]
+        last = np.r_[first[1:], len(seen)]
+        keep = seen[first] & (last - first >= auto.shortest)
+        for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
+            state = length = 0
+            for w in range(a, b):
+                word = auto.vocabulary.get(raw[starts[w] : ends[w]])
+                state, length = auto.step(state, length, word) if word is not None else (0, 0)
+                if length < auto.shortest:
+                    continue
+                reach, names = auto.ending(state, length)
+                if reach:
+                    hits, got = found.setdefault(int(doc_of[w]), ([], set()))
+                    got |= names
+                    hits.append((w + 1 - reach, w + 1))
+
+
+def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(hits):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scan(automata: list):
+    """A task's function: matches of its documents with all automata, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: SuffixAutomaton = automaton.value
-        known = sorted(auto.vocabulary)
-        keys = Texts(pa.array([w.decode() for w in known], pa.large_string()))
-        codes = np.sort(keys.hashes(keys.at[:-1], keys.at[1:])) if known else np.zeros(1, np.uint64)
+        scanners = [Scanner(a.value) for a in automata]
         for batch in sub_batches(batches, "text"):
             texts = Texts(batch.column(1))
             starts, ends, of = texts.words(ALNUM)
-            hashes = texts.hashes(starts, ends, lower=True)
-            at = np.minimum(np.searchsorted(codes, hashes), len(codes) - 1)
-            seen = codes[at] == hashes
+            hashes, raw = texts.hashes(starts, ends, lower=True), LOWER[texts.data].tobytes()
+            found: dict[int, tuple[list, set]] = {}
+            for scanner in scanners:
+                scanner.scan(texts, raw, (starts, ends, of), hashes, found)
             n_words = np.diff(of)
             n_hit, items, spans = np.zeros(len(texts), np.int64), [[] for _ in n_words], [[] for _ in n_words]
-            doc_of = np.repeat(np.arange(len(texts)), n_words)
-            # runs of known words within a document, of the shortest window's length at least
-            breaks = np.flatnonzero((seen[1:] != seen[:-1]) | (doc_of[1:] != doc_of[:-1])) + 1 if len(seen) else []
-            first = np.r_[0, breaks].astype(np.int64) if len(seen) else np.zeros(0, np.int64)
-            last = np.r_[first[1:], len(seen)] if len(seen) else first
-            keep = seen[first] & (last - first >= auto.shortest) if len(seen) else np.zeros(0, bool)
-            if keep.any():
-                raw = LOWER[texts.data].tobytes()
-                found: dict[int, tuple[list, set]] = {}
-                for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
-                    state = length = 0
-                    for w in range(a, b):
-                        word = auto.vocabulary.get(raw[starts[w] : ends[w]])
-                        state, length = auto.step(state, length, word) if word is not None else (0, 0)
-                        if length < auto.shortest:
-                            continue
-                        reach, names = auto.ending(state, length)
-                        if reach:
-                            hits, got = found.setdefault(int(doc_of[w]), ([], set()))
-                            got |= names
-                            if hits and hits[-1][1] >= w + 1 - reach:
-                                hits[-1][0], hits[-1][1] = min(hits[-1][0], w + 1 - reach), w + 1
-                            else:
-                                hits.append([w + 1 - reach, w + 1])
-                for d, (hits, got) in found.items():
-                    items[d] = sorted({x.split("\0")[0] for x in got})
-                    n_hit[d] = sum(b - a for a, b in hits)
-                    spans[d] = [{"start": int(a - of[d]), "end": int(b - of[d]), "first_byte": int(starts[a] - texts.at[d]), "end_byte": int(ends[b - 1] - texts.at[d])} for a, b in hits]
+            for d, (hits, got) in found.items():
+                hits = merged(hits)
+                items[d] = sorted({x.split("\0")[0] for x in got})
+                n_hit[d] = sum(b - a for a, b in hits)
+                spans[d] = [{"start": int(a - of[d]), "end": int(b - of[d]), "first_byte": int(starts[a] - texts.at[d]), "end_byte": int(ends[b - 1] - texts.at[d])} for a, b in hits]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_byte", pa.int32()), ("end_byte", pa.int32())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return run
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: number of words, words inside any occurrence of a window, items with occurring windows, and the
-    spans of hit words (word and byte offsets). A window is ``window`` consecutive words of an item; an item with fewer
-    is one window."""
-    from pyspark.sql import SparkSession
-
-    context = SparkSession.active().sparkContext
-    rows, parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), []
-    for block in item_blocks(items, "item_id", "text"):
-        parts.append(rows.mapInArrow(_scan(context.broadcast(SuffixAutomaton(block, window)), window), SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    joined = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int,first_byte:int,end_byte:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"), F.element_at(done, -1)["first_byte"].alias("first_byte"), F.greatest(F.element_at(done, -1)["end_byte"], x["end_byte"]).alias("end_byte"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    return (
-        out.groupBy("doc_id", "n_words")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), joined.alias("spans"))
-        .select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"), "items", "spans")
-    )
+    """Per row of the documents, null and repeated ids included: number of words, words inside any occurrence of a window,
+    items with occurring windows, and the spans of hit words (word and byte offsets). A window is ``window`` consecutive
+    words of an item; an item with fewer is one window. The documents are read once, whatever the number of blocks."""
+    share = docs.sparkSession.sparkContext.broadcast
+    automata = [share(SuffixAutomaton(block, window)) for block in item_blocks(items, "item_id", "text")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(automata), SCHEMA)
 
 
 def remove(docs: DataFrame, found: DataFrame, min_span: int = 10, max_coverage: float = 0.5) -> DataFrame:
