@@ -42,7 +42,17 @@ GIVEN = {
 }
 #: Syllables of surrogate family names by script (fixed values).
 SYLLABLES = {"latin": ["ba", "de", "fo", "gu", "ka", "le", "mi", "no", "pa", "re", "sa", "ta", "va", "wo", "zi", "lu"], "cyrillic": ["ба", "ве", "го", "ду", "ка", "ле", "ми", "но"], "greek": ["βα", "γε", "δο", "κα", "λε", "μι", "νο", "πα"]}
-_NAMES = {"latin": r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+", "cyrillic": r"[А-ЯЁ][а-яё-]+", "greek": r"[Α-ΩΆ-Ώ][α-ωά-ώ-]+"}
+
+
+def _name(script: str) -> str:
+    """A capital with further letters of the script, inner capitals among them, and parts after hyphens and apostrophes, but
+    for the s of a possessive."""
+    letter = rf"[\p{{{script}}}\p{{M}}]"
+    part = rf"(?:['’-](?!s(?!\p{{L}})){letter}+)"
+    return rf"[\p{{{script}}}&&\p{{Lu}}](?:{letter}+{part}*|{part}+)"
+
+
+_NAMES = {"latin": _name("IsLatin"), "cyrillic": _name("IsCyrillic"), "greek": _name("IsGreek")}
 
 
 def _title(script: str, gender: str) -> str:
