@@ -190,6 +190,18 @@ def test_blocks_of_items_agree(spark, docs, monkeypatch):
         assert (whole[i]["n_hit"], whole[i]["items"], whole[i]["n_words"]) == (parts[i]["n_hit"], parts[i]["items"], parts[i]["n_words"])
 
 
+def test_blocks_keep_null_and_repeated_ids(spark, monkeypatch):
+    items = spark.createDataFrame([(str(i), " ".join(SHARED.split()[i : i + 12])) for i in range(30)], "item_id string, text string")
+    rows = [(None, SHARED), (None, SHARED), (7, "clean " * 20), (8, SHARED[40:]), (8, SHARED[40:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda found: sorted(map(repr, found.select("doc_id", "n_words", "n_hit", "items", "spans").collect()))
+    whole = key(decontaminate.matches(df, items))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    found = decontaminate.matches(df, items)
+    assert key(found) == whole and len(whole) == 5
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -351,6 +363,19 @@ def test_surrogates_of_one_entity(spark):
     assert got[4] == texts[4]
 
 
+def test_whole_names_go(spark):
+    """Inner capitals, hyphens, apostrophes and all letters of a script belong to a name; a possessive s does not."""
+    names = ["Mr. McDonald", "Mrs. Smith-Jones", "Mr. O'Neil", "Herr Łukasz", "Ms. D’Arcy", "Frau Çelik-Öztürk", "Mr. SMITH", "Mme Ďurišová Nováková"]
+    texts = [f"Then {n} came." for n in names] + ["It was Mr. Baker's dog and Mr. Baker's cat; ask Mr. Baker."]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, name in enumerate(names):
+        title, *parts = re.split(r"[ '’-]", name)
+        assert re.fullmatch(r"Then [^ ]+ [A-Z][a-z]+(?: [A-Z][a-z]+)? came\.", got[i]) and got[i].split()[1] == title, got[i]
+        assert not any(p in got[i] for p in parts if len(p) > 2), got[i]
+    dog, cat, ask = re.fullmatch(r"It was Mr\. (\w+)'s dog and Mr\. (\w+)'s cat; ask Mr\. (\w+)\.", got[len(names)]).groups()
+    assert dog == cat == ask != "Baker"
+
+
 def test_names_never_run_out(spark):
     letters = "абвгдежзиклмнопрст"
     texts = [f"г-н А{letters[i % 18]}{letters[i // 18 % 18]}{letters[i // 324]}ов" for i in range(5000)]
