@@ -155,7 +155,8 @@ class Texts:
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text each, one row at least."""
+    """Slices of the batches with at most ``limit`` bytes of text each, one row at least. After each batch, what Arrow holds
+    on to is given back, since workers wait for their next task beside others."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -167,3 +168,5 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK
                 total, start = 0, i
             total += int(x)
         yield batch.slice(start)
+        del batch, lengths
+        pa.default_memory_pool().release_unused()
