@@ -91,6 +91,12 @@ PARTS: dict[str, tuple[list[str], Kernel]] = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, such as one small file, is dealt out before long work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _pass(df: DataFrame, keep: list[str], names: list[str], kernels: list[Kernel]) -> DataFrame:
     """The kept columns and the kernels' columns of each row's payload; a table's batches, or a stream's."""
 
@@ -102,7 +108,7 @@ def _pass(df: DataFrame, keep: list[str], names: list[str], kernels: list[Kernel
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(c)) for c in matrix.T)], names=[*keep, *names])
 
     kinds = dict(df.dtypes)
-    return df.select(*keep, "payload").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in names)]))
+    return spread(df.select(*keep, "payload")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in names)]))
 
 
 def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame:

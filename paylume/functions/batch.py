@@ -256,21 +256,45 @@ def suffix_ranks(p: Payloads) -> list[np.ndarray]:
 
 
 def common_prefix(p: Payloads, levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes from ``a`` equal those from ``b`` in the same payload; 0 where ``a`` is negative."""
-    n, end = len(p.data), p.at[1:][p.row[b]]
+    """How many bytes from ``a`` equal those from ``b`` in the same payload; 0 where ``a`` is negative. Prefixes are doubled
+    for the pairs that still agree, and what is left is told by ever shorter ones."""
     found = np.zeros(len(a), np.int64)
-    good = (a >= 0) & (p.row[np.maximum(a, 0)] == p.row[b])
-    a = np.maximum(a, 0)
+    some = np.flatnonzero((a >= 0) & (p.row[np.maximum(a, 0)] == p.row[b]))
+    room = p.at[1:][p.row[b]] - np.maximum(a, b)
+
+    def agree(at: np.ndarray, i: int) -> np.ndarray:
+        """Those of the pairs that go on with ``4 << i`` equal bytes."""
+        at = at[found[at] < room[at]]
+        return at[levels[i][a[at] + found[at]] == levels[i][b[at] + found[at]]]
+
+    top = [some]
+    for i in range(len(levels)):
+        top.append(agree(top[-1], i))
     for i in range(len(levels) - 1, -1, -1):
-        x, y = np.minimum(a + found, n - 1), np.minimum(b + found, n - 1)
-        found += np.where(good & (np.maximum(a, b) + found < end) & (levels[i][x] == levels[i][y]), 4 << i, 0)
+        # pairs that reach beyond this level have been advanced; the others that reach it start with it
+        again = agree(top[i + 1][found[top[i + 1]] > 0], i)
+        found[top[i + 1]] = np.where(found[top[i + 1]] > 0, found[top[i + 1]], 4 << i)
+        found[again] += 4 << i
     for _ in range(3):
-        x, y = np.minimum(a + found, n - 1), np.minimum(b + found, n - 1)
-        good &= (np.maximum(a, b) + found < end) & (p.data[x] == p.data[y])
-        found += good
+        some = some[found[some] < room[some]]
+        some = some[p.data[a[some] + found[some]] == p.data[b[some] + found[some]]]
+        found[some] += 1
     return found
 
 
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 if there is none. Places that are not there yet
+    go on from where the larger value before them has got to, all at once."""
+    to = np.arange(len(values)) - 1
+    some = np.arange(len(values))
+    while True:
+        some = some[to[some] >= 0]
+        some = some[values[to[some]] > values[some]]
+        if not len(some):
+            return to
+        to[some] = to[to[some]]
+
+
 def longest_earlier(p: Payloads) -> np.ndarray:
     """For each byte, how many from it on also stand from an earlier place of its payload on (the two may overlap): the
     longer of what it has in common with its nearest neighbours among the sorted suffixes that begin earlier."""
@@ -280,15 +304,11 @@ def longest_earlier(p: Payloads) -> np.ndarray:
     levels = suffix_ranks(p)
     order = np.empty(n, np.int64)
     order[levels[-1]] = np.arange(n)
-    before, after, stack = [-1] * n, [-1] * n, []
-    for x in order.tolist():
-        while stack and stack[-1] > x:
-            after[stack.pop()] = x
-        if stack:
-            before[x] = stack[-1]
-        stack.append(x)
+    earlier = np.full((2, n), -1)
+    earlier[0][order] = np.r_[order, -1][smaller_before(order)]
+    earlier[1][order[::-1]] = np.r_[order[::-1], -1][smaller_before(order[::-1])]
     at = np.arange(n)
-    return np.maximum(common_prefix(p, levels, np.array(before), at), common_prefix(p, levels, np.array(after), at))
+    return np.maximum(common_prefix(p, levels, earlier[0], at), common_prefix(p, levels, earlier[1], at))
 
 
 def phrase_counts(p: Payloads) -> np.ndarray:

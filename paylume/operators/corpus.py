@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
 import uuid
 
@@ -17,8 +20,13 @@ SENTENCE = "The quick brown fox jumps over the lazy dog. "
 
 
 def folder(spark) -> str:
-    """A new path in the shared folder of the cluster; where none is set, as in tests, a local one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local one on
+    one machine, as in tests, and an error on a cluster, whose machines would not see it."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{top}/{uuid.uuid4().hex}"
 
 
@@ -70,6 +78,31 @@ def clean_texts(files: DataFrame, least: int = 1000) -> DataFrame:
     return text.where(F.octet_length("text") >= least)
 
 
+def read_texts(spark, path: str, names: str = "*.txt", least: int = 1000) -> DataFrame:
+    """``path, text`` of the files under a folder, at any depth, whose names match a pattern: UTF-8 ones only, white space
+    folded, of ``least`` bytes or more. A file is one row, so it has to fit in a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    return clean_texts(files, least).select("path", "text")
+
+
+CORPUS_FILES = r"""
+WITH w AS (SELECT source, regexp_extract_all(text, '\S+') AS w FROM documents WHERE text <> '')
+SELECT source, CAST(sum(len(w)) AS BIGINT) AS n_words, CAST(sum(list_sum(list_transform(w, lambda x: length(x)))) AS BIGINT) AS n_chars FROM w GROUP BY 1
+"""
+
+
+@query("s3_corpus_files", CORPUS_FILES)
+def corpus_files(spark, sf_dir: str) -> DataFrame:
+    """Writes the documents as text files in a folder for each source, at most 500 of them in a file, reads the tree back as
+    files and counts words and characters."""
+    path = folder(spark)
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("source", F.col("text").alias("value"))
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 500).text(path)
+    found = read_texts(spark, path, "part-*", 1)
+    words = found.select(F.url_decode(F.regexp_extract("path", "source=([^/]*)/", 1)).alias("source"), F.explode(F.split(F.trim("text"), " ")).alias("w")).where("w <> ''")
+    return words.groupBy("source").agg(F.count("*").alias("n_words"), F.sum(F.char_length("w")).alias("n_chars"))
+
+
 @query("s4_json_scan", f"WITH {SPLITS} SELECT split, key_id FROM sp WHERE split IS NOT NULL")
 def json_scan(spark, sf_dir: str) -> DataFrame:
     """Writes the splits document, reads it back as multi-line JSON and flattens it."""
@@ -121,37 +154,79 @@ def json_sink(spark, sf_dir: str) -> DataFrame:
     return spark.read.json(path).select("version", "seed", F.col("totals.n").alias("n"))
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """The stage at a path: read if it is complete, else written first."""
+def exists(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def fingerprint(df: DataFrame, **parameters) -> str:
+    """Of what a result comes from: the plan, the parameters, and the places, sizes and times of the files read. The files
+    are summed up by Spark; none of their contents is read."""
     spark = df.sparkSession
-    try:
-        return spark.read.schema(df.schema).parquet(path + "/data") if spark.read.text(path + "/done").count() else df
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.mode("overwrite").parquet(path + "/data")
-    spark.range(1).selectExpr("'done' AS value").coalesce(1).write.mode("overwrite").text(path + "/done")
-    return spark.read.schema(df.schema).parquet(path + "/data")
+    files = df.inputFiles()
+    read = spark.read.format("binaryFile").load(files).agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first() if files else ()
+    plan = re.sub(r"#[0-9]+L?|plan_id=[0-9]+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    return hashlib.sha256(json.dumps([plan, sorted(parameters.items()), [str(x) for x in read]], default=str).encode()).hexdigest()
+
 
+COMMIT = "fingerprint string, data string, at timestamp"
 
-@query("s9_reused_stage", f"WITH {SAMPLES} SELECT algorithm, count(*) AS n FROM s GROUP BY 1")
+
+def committed(spark, path: str) -> list[tuple[str, str]]:
+    """Fingerprints and data folders of the results that are complete at a path, in the order of their commits. A record is
+    one small file that appears when its job is committed, so that what was half written has none."""
+    if not exists(spark, path + "/commits"):
+        return []
+    rows = spark.read.schema(COMMIT).json(path + "/commits").orderBy("at", "data").collect()
+    return [(r["fingerprint"], r["data"]) for r in rows]
+
+
+def commit(df: DataFrame, path: str, mark: str) -> str:
+    """Writes rows to a new folder under the path, then a record of it; the folder."""
+    spark = df.sparkSession
+    data = f"{path}/data-{uuid.uuid4().hex}"
+    df.write.parquet(data)
+    record = spark.range(1).select(F.lit(mark).alias("fingerprint"), F.lit(data).alias("data"), F.current_timestamp().alias("at"))
+    record.coalesce(1).write.mode("append").json(path + "/commits")
+    return data
+
+
+def stage(df: DataFrame, path: str, **parameters) -> DataFrame:
+    """The stage at a path: read if a complete result of the same inputs, plan and parameters is there, else written first.
+    Changed inputs or parameters make a new result beside the old one."""
+    spark, mark = df.sparkSession, fingerprint(df, **parameters)
+    done = dict(committed(spark, path))
+    return spark.read.schema(df.schema).parquet(done[mark] if mark in done else commit(df, path, mark))
+
+
+@query("s9_reused_stage", f"WITH {SAMPLES} SELECT algorithm, count(*) AS n, CAST(1 AS INTEGER) AS written FROM s GROUP BY 1")
 def reused_stage(spark, sf_dir: str) -> DataFrame:
+    """A stage asked for twice, written once."""
     path = folder(spark)
-    made = stage(samples(spark, sf_dir).drop("text"), path)
-    again = stage(made.where("false"), path)
-    return again.groupBy("algorithm").agg(F.count("*").alias("n"))
+    rows = samples(spark, sf_dir).drop("text")
+    stage(rows, path)
+    return stage(rows, path).groupBy("algorithm").agg(F.count("*").alias("n")).withColumn("written", F.lit(len(committed(spark, path))))
 
 
-def incremental(known: DataFrame, rows: DataFrame, compute, key: str) -> DataFrame:
-    """Known results, and results of ``compute`` for the rows whose key is not among them."""
-    return known.unionByName(compute(rows.join(known.select(key), key, "left_anti")), allowMissingColumns=True)
+def incremental(path: str, rows: DataFrame, compute, key: str) -> DataFrame:
+    """Results by key at a path: those that are there, and those of ``compute`` for the rows whose key is not among them,
+    which are added in one commit. Keys are unique. The columns are those of ``compute``."""
+    spark = rows.sparkSession
+    parts = [data for _, data in committed(spark, path)]
+    new = rows if not parts else rows.join(spark.read.parquet(*parts).select(key), key, "left_anti")
+    made = compute(new)
+    data = commit(made, path, "increment")
+    return spark.read.schema(made.schema).parquet(*parts, data)
 
 
-@query("s10_incremental", f"WITH {SAMPLES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN -1 ELSE len_pt END AS v FROM s")
+@query("s10_incremental", f"WITH {SAMPLES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS batch, len_pt AS v FROM s")
 def incremental_stage(spark, sf_dir: str) -> DataFrame:
+    """Even ids first, then all of them: the second time only odd ones are worked out."""
+    path = folder(spark)
     rows = samples(spark, sf_dir)
-    known = rows.where("doc_id % 2 = 0").select("doc_id", F.lit(-1).cast("long").alias("v"))
-    return incremental(known, rows, lambda df: df.select("doc_id", F.col("len_pt").alias("v")), "doc_id")
+    work = lambda batch: lambda df: df.select("doc_id", F.lit(batch).alias("batch"), F.col("len_pt").alias("v"))
+    incremental(path, rows.where("doc_id % 2 = 0"), work(1), "doc_id")
+    return incremental(path, rows, work(2), "doc_id")
 
 
 # generation

@@ -129,6 +129,13 @@ def bootstrap_interval(spark, sf_dir: str) -> DataFrame:
     return bootstrap(cells).join(scores, "model").select("model", F.col("f1").between(F.col("f1_low"), F.col("f1_high")).alias("f1_inside"), F.col("balanced").between(F.col("balanced_low"), F.col("balanced_high")).alias("balanced_inside"), ends.alias("in_range"))
 
 
+@query("e6_interval")
+def interval(spark, sf_dir: str) -> DataFrame:
+    """The intervals themselves, from 1000 draws."""
+    found = bootstrap(confusion(predictions(spark, sf_dir), "model"))
+    return found.select("model", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
 PROBA = PREDICTED + ", pb AS (SELECT *, 0.4 + 0.5 * u AS p FROM pr)"
 
 
