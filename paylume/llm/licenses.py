@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,26 +64,25 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], limit: float):
         self.limit = limit
-        self.sets = {name: b for name, t in sorted(texts.items()) if (b := bigrams(t.encode()))}
-        sizes = [len(b) for b in self.sets.values()]
+        # by size, so that those which a unit's size admits stand side by side
+        self.sets = sorted(((name, b) for name, t in texts.items() if (b := bigrams(t.encode()))), key=lambda x: (len(x[1]), x[0]))
+        self.sizes = sizes = [len(b) for _, b in self.sets]
         self.low, self.high = (math.ceil(min(sizes) * limit / (2 - limit) - 1e-9), math.floor(max(sizes) * (2 - limit) / limit + 1e-9)) if sizes else (1, 0)
         self.least_overlap = math.ceil(limit * (min(sizes) + 1) / 2 - 1e-9) if sizes else 1
-        column = pa.array([b" ".join(x) for b in self.sets.values() for x in b], pa.binary())
+        column = pa.array([b" ".join(x) for _, b in self.sets for x in b], pa.binary())
         t = Texts(column)
         starts, ends, _ = t.words(ALNUM)
         self.words = np.unique(t.hashes(starts, ends))
 
     def best(self, unit: bytes) -> tuple[str, float] | None:
-        own = bigrams(unit)
-        found = None
-        for name, other in self.sets.items():
-            a, b = len(own), len(other)
-            if min(a, b) < self.limit / (2 - self.limit) * max(a, b) - 1e-9:
-                continue
-            dice = 2 * len(own & other) / (a + b)
-            if dice >= self.limit and (found is None or dice > found[1]):
-                found = name, dice
-        return found
+        """The most alike template, the first by name of several, if it reaches the limit. Only templates of a size that can
+        reach it are compared."""
+        own, ratio = bigrams(unit), self.limit / (2 - self.limit)
+        a = len(own)
+        low, high = bisect_left(self.sizes, ratio * a - 1e-9), bisect_right(self.sizes, a / ratio + 1e-9)
+        scores = [(-2 * len(own & other) / (a + len(other)), name) for name, other in self.sets[low:high]]
+        dice, name = min(scores, default=(0.0, ""))
+        return (name, -dice) if name and -dice >= self.limit else None
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float = 0.8) -> DataFrame:
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, limit)
-        paragraph = re.compile(rb"[^\n]+(?:\n[^\n]+)+")
+        paragraph = re.compile(rb"\r*[^\r\n][^\n]*(?:\n\r*[^\r\n][^\n]*)+")
         for batch in sub_batches(batches, "text"):
             texts = Texts(batch.column(1))
             starts, ends, of = texts.words(ALNUM)
@@ -106,22 +106,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, limit: float =
             last = np.r_[first[1:], texts.at[-1]][: len(first)]
             a, b = np.searchsorted(starts, first), np.searchsorted(starts, last)
             # words of templates that a unit needs: one more than the least overlap
-            good = np.flatnonzero((total[b] - total[a] > min(known.least_overlap, 1)) & (b - a > known.low))
+            good = np.flatnonzero((total[b] - total[a] > known.least_overlap) & (b - a > known.low))
             raw = texts.data.tobytes()
             owner = np.searchsorted(texts.at, first, "right") - 1
             for i in good.tolist():
-                unit = raw[first[i] : last[i]].rstrip(b"\n")
+                unit = raw[first[i] : last[i]].rstrip(b"\r\n")
                 if (x := known.best(unit)) is not None:
                     low = int(texts.at[owner[i]])
                     found[owner[i]].append({"template": x[0], "dice": x[1], "unit": unit.decode(), "first_byte": int(first[i]) - low, "end_byte": int(first[i]) - low + len(unit)})
             many = np.searchsorted(breaks, texts.at[1:]) - np.searchsorted(breaks, texts.at[:-1])
             per_text = total[of[1:]] - total[of[:-1]]
-            for d in np.flatnonzero((many > 0) & (per_text > min(known.least_overlap, 1))).tolist():
+            for d in np.flatnonzero((many > 0) & (per_text > known.least_overlap)).tolist():
                 low = int(texts.at[d])
                 for m in paragraph.finditer(raw[low : texts.at[d + 1]]):
                     # repeated words make no bigrams, so the number of words bounds the set from above only
                     i, j = np.searchsorted(starts, (low + m.start(), low + m.end()))
-                    if j - i > known.low and total[j] - total[i] > min(known.least_overlap, 1) and (x := known.best(m[0])) is not None:
+                    if j - i > known.low and total[j] - total[i] > known.least_overlap and (x := known.best(m[0])) is not None:
                         found[d].append({"template": x[0], "dice": x[1], "unit": m[0].decode(), "first_byte": m.start(), "end_byte": m.end()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], names=["doc_id", "found"])
 
@@ -143,7 +143,7 @@ tb AS (SELECT template, w[i] || ' ' || w[i + 1] AS g FROM (SELECT template, w, u
 tn AS (SELECT template, count(*) AS b FROM tb GROUP BY template),
 u AS (SELECT row_number() OVER () AS unit_id, doc_id, unit FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]+(?:\n[^\n]+)+')) AS unit FROM documents)),
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\r*[^\r\n][^\n]*(?:\n\r*[^\r\n][^\n]*)+')) AS unit FROM documents)),
 ub AS (SELECT unit_id, doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT unit_id, doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT unit_id, doc_id, {words.format("unit")} AS w FROM u)) GROUP BY ALL),
 un AS (SELECT unit_id, doc_id, count(*) AS a FROM ub GROUP BY ALL),
 both_sets AS (SELECT unit_id, template, count(*) AS shared FROM ub JOIN tb USING (g) GROUP BY ALL),

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``. Where that is unset, as in tests on one machine, a local folder."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, as in tests on one machine, a local folder; an error
+    on a cluster, whose machines would not see one."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from paylume.llm import bin_packing, collocations, jaccard_join, periodic_runs, queries, substring_dedup, textkit
+from paylume.llm import bin_packing, collocations, jaccard_join, licenses, periodic_runs, queries, substring_dedup, textkit
 
 from ..conftest import SMALL
 from .test_operators import LONG, TEXTS, WORD
@@ -276,3 +276,24 @@ def test_products_modulo_the_prime():
     assert textkit.product(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b, strict=True)]
     values = [rng.randrange(1 << 64) for _ in range(3000)]
     assert int(textkit.prefix_sums(np.array(values, np.uint64), 1)[-1]) == sum(x * pow(textkit._BASE[1], i, p) for i, x in enumerate(values)) % p
+
+
+# licences
+
+
+def test_notices_with_any_line_ends_and_by_size(spark):
+    name, text = max(licenses.TEMPLATES.items(), key=lambda x: len(x[1]))
+    words = text.split()
+    lines = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+    rows = [(0, "\n".join(lines)), (1, "\r\n".join(["intro", "", *lines, "", "\r", "rest"])), (2, "\n\n".join(lines)), (3, None), (4, "\r\n\r\n")]
+    got = {r["doc_id"]: r["found"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(x["template"], x["dice"]) for x in got[0]] == [(x["template"], x["dice"]) for x in got[1]] and (name, 1.0) in [(x["template"], x["dice"]) for x in got[0]]
+    assert not any(x["dice"] == 1.0 and x["template"] == name for x in got[2]) and got[3] == got[4] == []
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+    rng = random.Random(5)
+    for _ in range(300):
+        own = " ".join(w for w in rng.choice(list(licenses.TEMPLATES.values())).split() if rng.random() < rng.choice([0.8, 0.95, 1])).encode()
+        a = licenses.bigrams(own)
+        dice = [(-2 * len(a & b) / (len(a) + len(b)), n) for n, t in licenses.TEMPLATES.items() if (b := licenses.bigrams(t.encode()))]
+        best = min(dice)
+        assert known.best(own) == ((best[1], -best[0]) if -best[0] >= 0.8 else None)
