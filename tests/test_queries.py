@@ -9,10 +9,6 @@ from .compare import assert_same, connect
 from .conftest import SMALL
 
 
-#: Hundreds of small jobs in turn, minutes on few cores; its function is tested below with few rounds.
-LONG = {"m4_boosting"}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SMALL)
@@ -23,7 +19,7 @@ def test_same_as_sql(spark, con, name):
     assert_same(QUERIES[name](spark, SMALL), con, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).limit(1).count() == 1
 
@@ -31,8 +27,8 @@ def test_gives_rows(spark, name):
 def test_long_queries_with_few_rounds(spark):
     from paylume.operators import models, selection
 
-    train, test = models._split(spark, SMALL, 2)
-    assert models.fit_predict("boosting", models.boosting(3), train, test).count() == test.count() > 0
+    train, test = models._split(spark, SMALL)
+    assert models.boosted(train, test, 3).count() == test.count() > 0
     hits, rounds = selection.shadow_hits(selection.features(spark, SMALL), selection.NAMES[:12], "vec_id", rounds=2, trees=5)
     assert rounds == 2 and len(hits) == 12 and all(0 <= k <= 2 for k in hits.values())
     rows = models.balanced(models.vectors(spark, SMALL)).withColumn("fold", F.col("grp") % 5).cache()
