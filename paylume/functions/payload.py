@@ -140,7 +140,8 @@ def block_repetition(df: DataFrame, size: int = 16, *keep: str) -> DataFrame:
 
 def fixed_sequence(payload: Column | str, size: int) -> Column:
     """The first ``size`` bytes as an array, padded with zeros."""
-    bytes_ = byte_array(payload)
+    first = F.col(payload) if isinstance(payload, str) else payload
+    bytes_ = byte_array(first.substr(1, size))  # only these are split to bytes
     return F.slice(F.concat(bytes_, F.array_repeat(F.lit(0), size)), 1, size)
 
 
