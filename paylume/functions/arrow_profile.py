@@ -120,3 +120,29 @@ def feature_table(df: DataFrame, families: list[str] | None = None) -> DataFrame
 def profile(df: DataFrame, parts: list[str], *keep: str) -> DataFrame:
     """Single statistics by id in one Arrow pass, see ``PARTS``; other columns may be kept."""
     return _pass(df, ["id", *keep], [n for p in parts for n in PARTS[p][0]], [PARTS[p][1] for p in parts])
+
+
+def bigrams(df: DataFrame) -> DataFrame:
+    """``id, b1, b2, freq``: the pairs of bytes that occur in a payload, and their share of its pairs, in one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in batch.slices(whole, 1) if whole.num_rows else ():
+                row, pair, freq = batch.pair_shares(Payloads(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((pair >> 8).astype(np.int32)), pa.array((pair & 255).astype(np.int32)), pa.array(freq)], names=["id", "b1", "b2", "freq"])
+
+    return spread(df.select("id", "payload")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, b1 int, b2 int, freq double")
+
+
+def xor_digests(df: DataFrame) -> DataFrame:
+    """``id, hexed_md5, opens`` of rows of ``id, payload, key``: md5 of the hexadecimal text of the payload XORed with the
+    repeating key, and whether the key gives the payload back; null for a null payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in batch.slices(whole, 1) if whole.num_rows else ():
+                digests, opens = batch.xor_digests(Payloads(part.column(1)), part.column(2))
+                null = part.column(1).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.string(), mask=null), pa.array(opens, pa.bool_(), mask=null)], names=["id", "hexed_md5", "opens"])
+
+    return spread(df.select("id", "payload", "key")).mapInArrow(run, f"id {dict(df.dtypes)['id']}, hexed_md5 string, opens boolean")

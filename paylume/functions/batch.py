@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import bz2
+import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -155,6 +156,32 @@ def grams(p: Payloads, g: int) -> np.ndarray:
     return out
 
 
+def pair_shares(p: Payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of neighbouring bytes that occur: the payload's number, the pair as one number, and its share of the
+    payload's pairs."""
+    at = np.arange(max(len(p.data) - 1, 0))
+    at = at[p.row[at] == p.row[at + 1]]
+    key = np.sort(p.row[at].astype(np.int64) << 16 | p.data[at].astype(np.int64) << 8 | p.data[at + 1])
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    row, pair = key[first] >> 16, key[first] & 65535
+    return row, pair, np.diff(np.r_[first, len(key)]) / (p.n[row] - 1.0)
+
+
+def xor_repeating(data: np.ndarray, key: bytes) -> np.ndarray:
+    """XOR with the first four bytes of a key over and over, of the fourth only its lowest bit (25 bits in all)."""
+    word = np.frombuffer(key[:4], np.uint8) & np.array([255, 255, 255, 1], np.uint8)
+    return data ^ np.resize(word, len(data))
+
+
+def xor_digests(p: Payloads, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The md5 of each payload's XOR in upper-case hexadecimal, and whether a second XOR gives the payload back."""
+    digests, opens = np.full(len(p), "", object), np.zeros(len(p), bool)
+    for i, (x, key) in enumerate(zip(p, keys.to_pylist(), strict=True)):
+        made = xor_repeating(x, key)
+        digests[i], opens[i] = hashlib.md5(made.tobytes().hex().upper().encode()).hexdigest(), np.array_equal(xor_repeating(made, key), x)
+    return digests, opens
+
+
 def lag_correlations(p: Payloads, lags: range = range(1, 17)) -> np.ndarray:
     """Mean product of centred bytes ``k`` apart over their population variance, within [-1, 1]; NaN from lag n on; 1
     for a constant payload."""

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import payload
+from ..functions import arrow_profile, payload
 from ..plans.registry import query
 from ..sources.tables import hash_int, sql_hash, table
 from .relational import SAMPLES, SPLITS, key_splits, samples
@@ -343,10 +343,8 @@ XOR_SQL = "printf('%02X', xor(CAST('0x' || substr(hx, 2 * i + 1, 2) AS INTEGER),
 
 @query("g7_xor_variant", f"WITH {SAMPLES}, b AS (SELECT doc_id, md5('42|' || key_id) AS k, hex(encode(text)) AS hx, unnest(range(0, CAST(len_pt AS BIGINT))) AS i FROM s), x AS (SELECT doc_id, md5(string_agg({XOR_SQL}, '' ORDER BY i)) AS m FROM b GROUP BY doc_id) SELECT s.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(m, md5('')) END AS hexed_md5, CASE WHEN text IS NOT NULL THEN true END AS opens FROM s LEFT JOIN x ON s.doc_id = x.doc_id")
 def xor_variant(spark, sf_dir: str) -> DataFrame:
-    rows = once(samples(spark, sf_dir).select("doc_id", "text", "key_id"), raw=F.encode("text", "UTF-8"), key=key_bytes(F.col("key_id"))).drop("text", "key_id")
-    made = once(rows, ct=xor_repeating(F.col("raw"), F.col("key")))
-    back = once(made, bytes=F.unhex("ct"))
-    return back.select("doc_id", F.md5("ct").alias("hexed_md5"), (F.unhex(xor_repeating(F.col("bytes"), F.col("key"))) == F.col("raw")).alias("opens"))
+    rows = samples(spark, sf_dir).select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("payload"), key_bytes(F.col("key_id")).alias("key"))
+    return arrow_profile.xor_digests(rows).withColumnRenamed("id", "doc_id")
 
 
 @query("g8_authenticated_variant", f"WITH {SAMPLES} SELECT doc_id, len_pt + 28 AS len_ct, true AS opens, true AS wrong_key_fails, true AS wrong_aad_fails FROM s")
