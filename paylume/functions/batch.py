@@ -17,6 +17,8 @@ NAN = float("nan")
 BANDS = 8
 #: Bytes of payloads handled at once; a longer single payload is handled alone.
 BLOCK_BYTES = 1 << 19
+#: Payloads of so many bytes or fewer are parsed by searching, which is faster there than sorting suffixes.
+SEARCHED = 4000
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -338,11 +340,36 @@ def longest_earlier(p: Payloads) -> np.ndarray:
     return np.maximum(common_prefix(p, levels, earlier[0], at), common_prefix(p, levels, earlier[1], at))
 
 
+def phrase_count_of_short(data: bytes) -> int:
+    """Phrases of one payload by searching for ever longer strings, each from where the last one stands first; quadratic."""
+    at = found = 0
+    while at < len(data):
+        # most phrases are longer than four bytes
+        place = data.find(data[at : at + 4], 0, at + 3) if at + 4 <= len(data) else -1
+        size, place = (5, place) if place >= 0 else (1, 0)
+        while at + size <= len(data):
+            place = data.find(data[at : at + size], place, at + size - 1)
+            if place < 0:
+                break
+            size += 1
+        at += size
+        found += 1
+    return found
+
+
 def phrase_counts(p: Payloads) -> np.ndarray:
     """Phrases of the 1976 parsing: each is the shortest string from its start that doesn't stand earlier, where the earlier
-    one may overlap it but for the last byte."""
-    longest, out = longest_earlier(p).tolist(), np.zeros(len(p))
-    for i, (at, end) in enumerate(zip(p.at[:-1].tolist(), p.at[1:].tolist(), strict=True)):
+    one may overlap it but for the last byte. Payloads of over ``SEARCHED`` bytes go by sorted suffixes; the counts are
+    the same either way."""
+    out = np.zeros(len(p))
+    for i in np.flatnonzero(p.n <= SEARCHED).tolist():
+        out[i] = phrase_count_of_short(p.data[p.at[i] : p.at[i + 1]].tobytes())
+    long = np.flatnonzero(p.n > SEARCHED).tolist()
+    if not long:
+        return out
+    rest = Payloads.of(*(p.data[p.at[i] : p.at[i + 1]].tobytes() for i in long))
+    longest = longest_earlier(rest).tolist()
+    for i, at, end in zip(long, rest.at[:-1].tolist(), rest.at[1:].tolist(), strict=True):
         while at < end:
             at += longest[at] + 1
             out[i] += 1
