@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trim
 from .textkit import ALNUM, Texts, sub_batches
 
 U64 = np.uint64
@@ -264,7 +265,8 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = 2000, k: int = 15) ->
     index.focus = build(chosen, idf[np.searchsorted(words, chosen)], rows, labels, k)
     share = {c: totals.get(c, 0) / max((labels == c).sum(), 1) for c in (0, 1)}
     index.calibrate(np.array([share[int(c)] for c in index.labels]))
-    del index.words_of, index.focus.words_of
+    del index.words_of, index.focus.words_of, rows, lists, counted, df
+    trim()
     return index
 
 
