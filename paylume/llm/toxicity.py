@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import trim
+from .shared import release, trim
 from .textkit import ALNUM, Texts, sub_batches
 
 U64 = np.uint64
@@ -59,7 +59,7 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in sub_batches(batches, "text"):
         doc, hashes, count = word_counts(Texts(batch.column(2)))
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(count))], names=["doc_id", "label", "words", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int32)))], names=["doc_id", "label", "words", "counts"])
 
 
 def all_words(rows: list, labels: np.ndarray) -> np.ndarray:
@@ -120,9 +120,9 @@ class BlockMaxIndex:
         order = sorted(range(len(docs)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, docs[i]))
         self.docs, self.labels = np.array([docs[i] for i in order], np.int64), labels[order]
         self.blocks = -(-len(order) // BLOCK)
-        word = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        word = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int32)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         by = np.lexsort((example, word))
         self.example, self.weight = example[by], weight[by]
         self.at = np.searchsorted(word[by], np.arange(len(words) + 1)).astype(np.int32)
@@ -230,7 +230,7 @@ def build(words: np.ndarray, idf: np.ndarray, rows: list, labels: np.ndarray, k:
     vectors = []
     for r in rows:
         at, good = look_up(words, np.array(r["words"], np.int64).view(U64))
-        w, c = at[good], np.array(r["counts"], float)[good]
+        w, c = at[good].astype(np.int32), np.array(r["counts"], float)[good]
         weight = (1 + np.log(c)) * idf[w]
         norm = np.sqrt((weight * weight).sum())
         vectors.append((w, weight / norm if norm > 0 else weight))
@@ -248,25 +248,27 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = 2000, k: int = 15) ->
     picked = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "label", "text")
-    rows = examples.mapInArrow(_example_rows, "doc_id long, label int, words array<long>, counts array<long>").toArrow().combine_chunks()
+    rows = examples.mapInArrow(_example_rows, "doc_id long, label int, words array<long>, counts array<int>").toArrow().combine_chunks()
     # as arrays: lists of Python numbers take several times the memory
     lists = {c: np.split(pc.list_flatten(rows[c]).to_numpy(), np.cumsum(pc.list_value_length(rows[c]).to_numpy())[:-1]) if rows.num_rows else [] for c in ("words", "counts")}
     rows = [{"doc_id": d, "label": y, "words": w, "counts": c} for d, y, w, c in zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), lists["words"], lists["counts"], strict=True)]
     rows = sorted({(r["doc_id"], r["label"]): r for r in rows}.values(), key=lambda r: (r["doc_id"], r["label"]))
     labels = np.array([r["label"] for r in rows], float)
     words = all_words(rows, labels)
+    chosen = choose_words(rows, labels)
+    trim()
     sent = spark.sparkContext.broadcast(words)
     counted = texts.select("text").mapInArrow(_frequency_rows(sent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(words) + 1)
     df[counted["word"].to_numpy() + 1] = counted["n"].to_numpy()
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1e-6
     index = build(words, idf, rows, labels, k)
-    chosen = choose_words(rows, labels)
     index.focus = build(chosen, idf[np.searchsorted(words, chosen)], rows, labels, k)
     share = {c: totals.get(c, 0) / max((labels == c).sum(), 1) for c in (0, 1)}
     index.calibrate(np.array([share[int(c)] for c in index.labels]))
     del index.words_of, index.focus.words_of, rows, lists, counted, df
-    trim()
+    sent.unpersist()
+    release(spark)
     return index
 
 
