@@ -4,10 +4,10 @@ Equal sets are one class; only the class's first document goes on. Light sets, o
 enumerate the subsets of each size that an admissible partner must share; equal subsets of the needed size are a
 proof, so no check follows. Heavy sets go to inverted lists. A list's key is not a single shingle but all shingles of
 the set in one range of hashes. Sizes are graded in steps of ``1 / limit ** 2``, and a set uses the ranges of its own
-grade, and those of the grade below if a partner can be in it, so that linked sets always share a grade. A grade has
-more ranges than its linked sets can differ in, so they have equal ranges; ``n_ranges`` adds as many as it takes for
-the chance that all of these are empty to stay under ``2 ** -SURE``, and empty ranges get no list. Sets near the
-boundary do both. The boundary minimises the estimated rows of both parts, from the sizes of all sets.
+grade, and those of the grade below if a partner can be in it, so that linked sets always share a grade. ``n_ranges``
+takes as many ranges as it takes for the chance that linked sets have no equal range with a shingle to stay under
+``2 ** -SURE``, and no more: the wider a range, the less likely it is that long texts with a passage in common, which
+are far from linked, share a list. Empty ranges get no list. Sets near the boundary do both. The boundary minimises the estimated rows of both parts, from the sizes of all sets.
 
 Links from the lists are found in two rounds. First each set meets the member of its lists that has the most company,
 the hub of a group of copies, which joins such a group without all its pairs. Then lists that still hold several
@@ -22,6 +22,7 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -90,15 +91,31 @@ def lower_grade(n, percent: int):
     return grade(-(-percent * np.asarray(n) // 100), percent)
 
 
+@functools.cache
+def _ranges(g: int, percent: int) -> int:
+    ends = [max((100 / percent) ** (2 * (g + end)), 1) for end in (0, 1)]
+    pairs = [((100 - percent) / percent * x, 2 * percent * x / (100 + percent)) for x in ends]
+    # more ranges than can differ, and so many that the common shingles all meet those with a chance under 2 ** -SURE
+    most = math.ceil(max(max(differ + 1, differ * 2 ** min(SURE / common, 20)) for differ, common in pairs)) + 1
+
+    def sure(n: int) -> bool:
+        """A range is without a difference and has a common shingle with the chance ``equal``; that none of n is so has a
+        chance of (1 - equal) ** n at most, as balls in boxes are negatively associated. Over the sizes of a grade, equal
+        goes up, then down: the ends have the least."""
+        for differ, common in pairs:
+            equal = (1 - 1 / n) ** differ * (1 - (1 - 1 / n) ** common)
+            if n * math.log2(1 - equal) > -SURE:
+                return False
+        return True
+
+    return next((n for n in range(2, most) if sure(n)), most)
+
+
 def n_ranges(g, percent: int) -> np.ndarray:
-    """Ranges for pairs whose smaller set is of grade ``g``: over all its sizes, more than the shingles in which a
-    linked pair can differ, and so many that its common shingles all meet those with a chance under 2 ** -SURE."""
-    out = np.zeros(np.shape(g))
-    for end in (0, 1):
-        x = np.maximum((100 / percent) ** (2 * (np.asarray(g, float) + end)), 1)
-        differ, common = (100 - percent) / percent * x, 2 * percent * x / (100 + percent)
-        out = np.maximum(out, np.maximum(differ + 1, differ * 2 ** np.minimum(SURE / common, 20)))
-    return np.ceil(out).astype(np.int64) + 1
+    """Ranges for pairs whose smaller set is of grade ``g``: the least number that gives linked pairs of all its sizes a list
+    in common but with a chance under 2 ** -SURE."""
+    of, where = np.unique(np.asarray(g, np.int64), return_inverse=True)
+    return np.array([_ranges(x, percent) for x in of.tolist()], np.int64)[where].reshape(np.shape(g))
 
 
 def list_entries(n: int, percent: int) -> int:
